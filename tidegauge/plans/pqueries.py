@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import model
-from tidegauge.operators import regular_grid, units, validity
+from tidegauge.operators import regular_grid, spikes, units, validity
 
 SETUP = "LYRA"
 VERSION = 1
@@ -57,7 +57,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return joined.where("entry_id is not null").select("entry_id", "reading_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_common_values, p3_found, p3_regular_series, p5_found)}
+def p6_implausible(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible readings with the reason."""
+    return spikes.flag_implausible(common(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_implausible(spark, d).select("reading_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_common_values, p3_found, p3_regular_series, p5_found, p6_implausible, p6_found)}
 
 _ENTRIES = f"""
 entries as (
