@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import model
-from tidegauge.llm import nearest
+from tidegauge.llm import nearest, percentiles
 from tidegauge.operators import validity
 
 SETUP = "LYRA"
@@ -29,7 +29,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_checks(spark, d).where("reading_id is not null").select("check_id", "reading_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_checks)}
+QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per endpoint and day (``day`` as a date's text) and over all days (``all``), these from the days' summaries."""
+    days = percentiles.summarise(model.table(spark, d, "numeric_data"), "endpoint_name", "timestamp", "value_raw", "reading_id")
+    model.checkpoint_dir(spark)
+    days = days.checkpoint()
+    daily = percentiles.percentiles(days, ["endpoint_name", "day"], QUANTILES)
+    daily = daily.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).cast("string"))
+    overall = percentiles.percentiles(percentiles.over_days(days, "endpoint_name"), ["endpoint_name"], QUANTILES).withColumn("day", F.lit("all"))
+    return daily.unionByName(overall)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles)}
 
 _SPELL = "regexp_replace(replace(lower(trim({0}, ' \t\n')), '.', '_'), '_lyra$', '')"
 _P1 = f"""
