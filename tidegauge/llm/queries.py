@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import model
-from tidegauge.llm import nearest, percentiles
+from tidegauge.llm import mixing, nearest, packing, percentiles, tokens
 from tidegauge.operators import validity
 
 SETUP = "LYRA"
@@ -43,7 +43,35 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return daily.unionByName(overall)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles)}
+TOKENIZER = tokens.DEFAULT_FILE
+CAPACITY = 2048
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 2,048 tokens with their contents."""
+    return packing.pack(model.table(spark, d, "documents"), CAPACITY, TOKENIZER)
+
+
+def p7_space(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the containers' space is used."""
+    return packing.fill(p7_containers(spark, d), CAPACITY)
+
+
+def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed corpus: documents with the number of copies and the share their source reaches."""
+    model.checkpoint_dir(spark)
+    counted = mixing.count_tokens(model.table(spark, d, "documents"), TOKENIZER).checkpoint()
+    return mixing.mix(counted, model.table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share, tokens, documents and most copies of each source."""
+    return p8_corpus(spark, d).groupBy("source").agg(
+        F.max("target_share").alias("target_share"), F.max("reached_share").alias("reached_share"), F.sum(F.expr("copies * n_tokens")).alias("tokens"),
+        F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles, p7_containers, p7_space, p8_corpus, p8_shares)}
 
 _SPELL = "regexp_replace(replace(lower(trim({0}, ' \t\n')), '.', '_'), '_lyra$', '')"
 _P1 = f"""
