@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import model
-from tidegauge.llm import mixing, nearest, packing, percentiles, tokens
+from tidegauge.llm import language, mixing, nearest, packing, percentiles, tokens
 from tidegauge.operators import validity
 
 SETUP = "LYRA"
@@ -71,7 +71,30 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles, p7_containers, p7_space, p8_corpus, p8_shares)}
+def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, language.LanguageModel]:
+    documents = model.table(spark, d, "documents")
+    return documents, language.train(model.table(spark, d, "lang_sample"), documents)
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language or languages of each page with a text, whatever its label says."""
+    documents, m = _documents(spark, d)
+    return language.document_languages(documents, m)
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of a page in one language, with a confidence."""
+    documents, m = _documents(spark, d)
+    return language.segments(documents, m)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose label is missing or wrong or that are in several languages, one row per language."""
+    documents, m = _documents(spark, d)
+    return language.to_relabel(documents, language.document_languages(documents, m)).select("doc_id", "lang").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles, p7_containers, p7_space, p8_corpus, p8_shares, p9_found, p9_languages, p9_segments)}
 
 _SPELL = "regexp_replace(replace(lower(trim({0}, ' \t\n')), '.', '_'), '_lyra$', '')"
 _P1 = f"""
