@@ -108,15 +108,17 @@ def to_common_units(readings: DataFrame, states: DataFrame, unit_def: DataFrame,
     The side tables are broadcast once their size is checked; beyond the bound they are joined by shuffle.
     """
     added = ("unit", "quantity", "common_unit", "value_common")
-    r = readings.drop(*added)
+    kept = [c for c in readings.columns if c not in added]
     aliases = model.broadcast_if_small(alias_table(unit_def), broadcast_rows)
-    spans = model.broadcast_if_small(unit_versions(states, aliases).withColumnRenamed("endpoint_name", "span_endpoint"), broadcast_rows)
-    r = r.withColumns({"at__": model.micros("timestamp"), "memo__": memo_unit_text("memo", "value_raw"), "name__": normal(F.element_at(F.split("endpoint_name", "_"), 1))})
-    r = r.join(spans, (r["endpoint_name"] == spans["span_endpoint"]) & (r["at__"] >= spans["from_us"]) & (r["at__"] < spans["to_us"]), "left")
+    spans = unit_versions(states, aliases).select(*(F.col(c).alias(f"{c}__") for c in ("endpoint_name", "from_us", "to_us", "source_unit")))
+    spans = model.broadcast_if_small(spans, broadcast_rows)
+    r = readings.select(*kept).withColumns({"at__": model.micros("timestamp"), "memo__": memo_unit_text("memo", "value_raw"), "name__": normal(F.element_at(F.split("endpoint_name", "_"), 1))})
+    r = r.join(spans, (r["endpoint_name"] == spans["endpoint_name__"]) & (r["at__"] >= spans["from_us__"]) & (r["at__"] < spans["to_us__"]), "left")
     short = lambda key, name: aliases.select(F.col("alias").alias(key), F.col("unit").alias(name))
     r = r.join(short("memo__", "u1__"), "memo__", "left").join(short("name__", "u3__"), "name__", "left")
-    r = r.withColumn("unit", F.coalesce("u1__", "source_unit", "u3__"))
-    defs = model.broadcast_if_small(unit_def.where("unit is not null").dropDuplicates(["unit"]).select("unit", "quantity", "common_unit", "factor", "shift"), broadcast_rows)
-    r = r.join(defs, "unit", "left")
-    value = model.value_or_null("value_raw") * F.col("factor") + F.col("shift")
-    return r.select(*[c for c in readings.columns if c not in added], "unit", "quantity", "common_unit", value.alias("value_common"))
+    r = r.withColumn("unit__", F.coalesce("u1__", "source_unit__", "u3__"))
+    defs = unit_def.where("unit is not null").dropDuplicates(["unit"])
+    defs = model.broadcast_if_small(defs.select(*(F.col(c).alias(f"{c}__") for c in ("unit", "quantity", "common_unit", "factor", "shift"))), broadcast_rows)
+    r = r.join(defs, "unit__", "left")
+    value = model.value_or_null("value_raw") * F.col("factor__") + F.col("shift__")
+    return r.select(*kept, *(F.col(f"{c}__").alias(c) for c in added[:3]), value.alias("value_common"))

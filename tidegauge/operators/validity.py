@@ -194,13 +194,15 @@ def as_known_at(
     Events are hash-partitioned on (endpoint, time slice), so that a hot endpoint spreads over many buckets, and each
     bucket runs one DuckDB ``ASOF LEFT JOIN`` against the states. The states travel to the buckets as a broadcast value
     if they are at most ``broadcast_rows``; otherwise both sides are cogrouped on salted buckets of endpoints.
-    All columns of the events are kept; those of the same name as an attribute are renamed ``<name>_event``.
+    All columns of the events are kept; those of the same name as an attribute get ``_event`` behind it, as often as needed.
     Events with a NULL endpoint or time, or before the first state, get NULLs.
     """
     spark = events.sparkSession
     for name in ("entry_id", "default_calibration", "label"):
-        if name in events.columns:
-            events = events.withColumnRenamed(name, f"{name}_event")
+        if (new := name) in events.columns:
+            while new in events.columns:
+                new += "_event"
+            events = events.withColumnRenamed(name, new)
     schema = events.schema
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "entry_id long", "default_calibration string", "label string"])
     keyed = events.withColumns({"endpoint__": F.col(endpoint), "us__": F.col(at_us)})

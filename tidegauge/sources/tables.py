@@ -88,16 +88,19 @@ def name_column(df: DataFrame) -> str:
 
 def tokenize(line: str, delimiter: str | None = None, quote: str = '"') -> list[str]:
     """Cells of a row: parted by ``delimiter``, or by blanks; quoted cells may hold it, a backslash escapes; blanks around are cut."""
-    out, cell, quoted, any_quote, i = [], "", False, False, 0
+    out, cell, inside, any_quote, i = [], "", "", False, 0
+    quotes = ('"', "'") if quote == '"' else (quote,)
     while i < len(line):
         c = line[i]
         if c == "\\" and i + 1 < len(line):
             cell += line[i + 1]
             i += 2
             continue
-        if c == quote or (quote == '"' and c == "'" and quoted == "'"):
-            quoted, any_quote = not quoted, True
-        elif not quoted and (c == delimiter if delimiter else c.isspace()):
+        if inside and c == inside:
+            inside = ""
+        elif not inside and c in quotes and not cell.strip():
+            cell, inside, any_quote = "", c, True
+        elif not inside and (c == delimiter if delimiter else c.isspace()):
             if delimiter or cell or any_quote:
                 out.append(cell if any_quote else cell.strip())
             cell, any_quote = "", False
