@@ -15,11 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge import model
-
 #: Words are runs without blanks, digits, ASCII and common other punctuation.
 _WORD = re.compile(r"[^\s\d\x00-\x40\[-`{-~。、，！？：；・「」（）«»“”„‘’…·|–—]+")
 #: Sentences end with their marks or the line.
@@ -348,11 +346,12 @@ def languages_of(segments: list[tuple[int, int, int, float, int]], least: int) -
 def repeated_lines(documents: DataFrame, max_documents: int = 4_000, least: int = 3, share: float = 0.6, max_lines: int = 4_000) -> list[tuple[str, str]]:
     """(language, line) of lines that at least ``least`` labelled documents share, a ``share`` of which agree on the language.
 
-    Menus and notices hardly occur in clean samples. The lines come from a bounded sample: the ``max_documents`` labelled
-    documents with the smallest hashes of their ids; of the lines the ``max_lines`` most frequent count.
+    Menus and notices hardly occur in clean samples. The lines come from a bounded sample of labelled rows: the documents
+    whose id has one of the smallest hashes, about ``max_documents`` of all; of the lines the ``max_lines`` most frequent count.
     """
-    d = documents.where("doc_id is not null and text is not null").select("doc_id", label_language("lang").alias("lang"), "text")
-    d = d.where("lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    share_read = min(1.0, max_documents / max(1, documents.count()))
+    d = documents.where("doc_id is not null and text is not null").where((F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63) <= share_read)
+    d = d.select("doc_id", label_language("lang").alias("lang"), "text").where("lang is not null")
     line = d.select("doc_id", "lang", F.explode(F.array_distinct(F.split("text", r"\s*\n\s*"))).alias("line")).where("length(trim(line)) > 2")
     votes = line.groupBy("line", "lang").agg(F.count("*").alias("n"))
     best = votes.groupBy("line").agg(F.sum("n").alias("all"), F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max("n").alias("n"))
@@ -369,11 +368,13 @@ def train(lang_sample: DataFrame, documents: DataFrame | None = None, max_sample
     return fit([(r["lang"], r["text"]) for r in rows], repeated_lines(documents) if documents is not None else [])
 
 
-def _apply(spark: SparkSession, documents: DataFrame, m: LanguageModel, rules: Rules, schema: str, rows) -> DataFrame:
-    sent = spark.sparkContext.broadcast(m)
-    names = [f.split()[0] for f in schema.split(", ")]
+def _apply(documents: DataFrame, m: LanguageModel, rules: Rules, schema: str, rows, label: Column | None = None) -> DataFrame:
+    """One pass over the texts; ``rows`` appends a document's rows from its segments. ``label`` goes along as a last column."""
+    sent = documents.sparkSession.sparkContext.broadcast(m)
+    labelled = label is not None
+    parts = [f.split() for f in (schema + (", label string" if labelled else "")).split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    fields = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+    fields = pa.schema([(name, kinds[kind]) for name, kind in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Segmenter(sent.value, rules)
@@ -381,14 +382,16 @@ def _apply(spark: SparkSession, documents: DataFrame, m: LanguageModel, rules: R
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
+                tails = [(x,) for x in part["label"].to_pylist()] if labelled else [()] * len(ids)
                 out: list[tuple] = []
-                for doc, text, (own, sums, counts) in zip(ids, texts, s.sentences(texts)):
-                    rows(out, doc, s.segments(text, own, sums, counts), sent.value.languages)
-                columns = list(zip(*out)) if out else [[] for _ in names]
+                for doc, text, tail, (own, sums, counts) in zip(ids, texts, tails, s.sentences(texts)):
+                    out.extend(row + tail for row in rows(doc, s.segments(text, own, sums, counts), sent.value.languages))
+                columns = list(zip(*out)) if out else [[] for _ in fields]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    texts = documents.where("doc_id is not null and text is not null and trim(text) <> ''").select("doc_id", "text")
-    return texts.mapInArrow(run, schema)
+    texts = documents.where("doc_id is not null and text is not null and trim(text) <> ''")
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([label.alias("label")] if label is not None else []))
+    return texts.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in parts))
 
 
 def segments(documents: DataFrame, m: LanguageModel, rules: Rules = Rules()) -> DataFrame:
@@ -398,10 +401,10 @@ def segments(documents: DataFrame, m: LanguageModel, rules: Rules = Rules()) ->
     likeliest beforehand, with that low confidence.
     """
 
-    def rows(out: list, doc: int, found: list, names: list[str]) -> None:
-        out.extend((doc, i, start, end, names[lang], p) for i, (start, end, lang, p, _) in enumerate(found))
+    def rows(doc: int, found: list, names: list[str]) -> list[tuple]:
+        return [(doc, i, start, end, names[lang], p) for i, (start, end, lang, p, _) in enumerate(found)]
 
-    return _apply(documents.sparkSession, documents, m, rules, "doc_id long, segment int, start int, stop int, lang string, confidence double", rows)
+    return _apply(documents, m, rules, "doc_id long, segment int, start int, stop int, lang string, confidence double", rows)
 
 
 def document_languages(documents: DataFrame, m: LanguageModel, rules: Rules = Rules()) -> DataFrame:
@@ -412,11 +415,18 @@ def document_languages(documents: DataFrame, m: LanguageModel, rules: Rules = Ru
     of the document's rows.
     """
 
-    def rows(out: list, doc: int, found: list, names: list[str]) -> None:
+    return _apply(documents, m, rules, _LANGUAGES, _language_rows(rules))
+
+
+_LANGUAGES = "doc_id long, lang string, confidence double, chars int, languages int"
+
+
+def _language_rows(rules: Rules):
+    def rows(doc: int, found: list, names: list[str]) -> list[tuple]:
         langs = languages_of(found, rules.least_stretch)
-        out.extend((doc, names[lang], p, n, len(langs)) for lang, p, n in langs)
+        return [(doc, names[lang], p, n, len(langs)) for lang, p, n in langs]
 
-    return _apply(documents.sparkSession, documents, m, rules, "doc_id long, lang string, confidence double, chars int, languages int", rows)
+    return rows
 
 
 def label_language(label: str) -> Column:
@@ -431,8 +441,10 @@ def label_language(label: str) -> Column:
     return names[key]
 
 
-def to_relabel(documents: DataFrame, languages: DataFrame) -> DataFrame:
-    """``(doc_id, lang, confidence)`` of documents whose label is missing or wrong, or that are in several languages."""
-    labels = documents.select("doc_id", label_language("lang").alias("label"))
-    found = languages.join(labels, "doc_id")
-    return found.where("languages > 1 or label is null or label <> lang").select("doc_id", "lang", "confidence")
+def relabelled(documents: DataFrame, m: LanguageModel, rules: Rules = Rules()) -> DataFrame:
+    """Like :func:`document_languages`, only documents whose label is missing or wrong or that are in several languages.
+
+    The label goes through the one pass over the texts, so that nothing is joined or shuffled.
+    """
+    found = _apply(documents, m, rules, _LANGUAGES, _language_rows(rules), label_language("lang"))
+    return found.where("languages > 1 or label is null or label <> lang").drop("label")

@@ -91,7 +91,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose label is missing or wrong or that are in several languages, one row per language."""
     documents, m = _documents(spark, d)
-    return language.to_relabel(documents, language.document_languages(documents, m)).select("doc_id", "lang").distinct()
+    return language.relabelled(documents, m).select("doc_id", "lang").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles, p7_containers, p7_space, p8_corpus, p8_shares, p9_found, p9_languages, p9_segments)}
