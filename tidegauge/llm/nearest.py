@@ -99,7 +99,8 @@ def match_nearest(
     shard_seconds: int = 43_200,
     max_error: int = 32,
 ) -> DataFrame:
-    """Every left row with the columns of the nearest right row of the same entity and ``delta_us`` (right minus left).
+    """Every left row with the columns of the nearest right row of the same entity and ``delta_us`` (right minus left;
+    ``delta_us_right`` if a column is so called).
 
     ``left_on`` and ``right_on`` name (entity, timestamp without zone). The distance is at most ``tolerance_us``, its
     ends included; of two equally near rows the earlier counts, of equal times the smallest ``right_id``. A left row
@@ -112,6 +113,7 @@ def match_nearest(
     width = shard_seconds * 1_000_000
     left_names, right_names = left.columns, right.columns
     out_right = [f"{c}_right" if c in left_names else c for c in right_names]
+    delta = "delta_us_right" if "delta_us" in [*left_names, *out_right] else "delta_us"
     q, t = model.micros(left_on[1]), model.micros(right_on[1])
     keyed = left.withColumns({"k__": F.col(left_on[0]), "q__": q}).withColumn("shard__", model.floor_div(F.col("q__"), width))
     whole = F.col("k__").isNotNull() & F.col("q__").isNotNull()
@@ -121,10 +123,10 @@ def match_nearest(
     r = r.withColumn("shard__", F.explode(F.array_distinct(F.array(*shards))))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema]
     fields += [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(out_right, right.schema)]
-    schema = ", ".join([*fields, "delta_us long"])
-    run = _matcher(tolerance_us, max_error, pa.schema([(c, pa.null()) for c in left_names]), right_names, [*left_names, *out_right, "delta_us"])
+    schema = ", ".join([*fields, f"{delta} long"])
+    run = _matcher(tolerance_us, max_error, pa.schema([(c, pa.null()) for c in left_names]), right_names, [*left_names, *out_right, delta])
     pairs = keyed.where(whole).groupBy("k__", "shard__").cogroup(r.groupBy("k__", "shard__")).applyInArrow(run, schema)
-    rest = keyed.where(~whole).select(*left_names, *(F.lit(None).cast(f.dataType).alias(n) for n, f in zip(out_right, right.schema)), F.lit(None).cast("long").alias("delta_us"))
+    rest = keyed.where(~whole).select(*left_names, *(F.lit(None).cast(f.dataType).alias(n) for n, f in zip(out_right, right.schema)), F.lit(None).cast("long").alias(delta))
     return pairs.unionByName(rest)
 
 

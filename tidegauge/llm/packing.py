@@ -139,7 +139,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = tokens.DEF
     Each text is tokenized once and moved once, with its tokens. A shard holds about ``items_per_shard`` items, whatever
     the number of documents.
     """
-    d = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
+    d = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, math.ceil(documents.count() / items_per_shard))
     pieces = d.mapInArrow(_pieces(capacity, tokenizer), _PIECE)
     # The hash mixes all lengths into every shard; full pieces go along, as containers of their own.
