@@ -100,3 +100,30 @@ def test_list_and_string_columns(spark):
 def test_pt100_pieces_join():
     for edge in (8.0, 40.0):
         assert X.pt100(edge - 1e-9) == pytest.approx(X.pt100(edge), abs=0.2)
+
+
+def test_formatter_and_scanner(spark):
+    from tidegauge.functions.text import Formatter, Scanner
+
+    df = spark.createDataFrame([(255, 1234.5678, "12 x 0x1F\nnext line"), (0, 1e-7, ""), (7, 0.0, None)], "n long, x double, s string")
+    f = Formatter()
+    line = f.setw(6).setfill("*").put(F.col("n"), "long").put("|").hex().put(F.col("n"), "long").put("|").put(F.col("x"), "double").put("|").scientific().setprecision(2).put(F.col("x"), "double").flush()
+    assert [r[0] for r in df.select(line).collect()] == ["***255|ff|1234.57|1.23e+03", "*****0|0|1e-07|1.00e-07", "*****7|7|0|0.00e+00"]
+    assert df.select(f.flush()).first()[0] == ""
+    s = Scanner(F.col("s"))
+    cols = [s.get("long"), s.get(), s.setbase(16).get("long"), s.get_line(), s.good(), s.get_line(), s.gcount()]
+    got = df.select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).collect()
+    assert tuple(got[0]) == (12, "x", 31, "", True, "next line", 0)
+    assert tuple(got[1]) == (None, None, None, "", False, "", 0)
+
+
+def test_macros_and_seeds(spark):
+    from tidegauge.functions.columns import Compiler, Value, macro
+
+    c = Compiler({"x": Value(F.lit(2.0), "double")}, {"sq": macro(["a"], "a*a")})
+    df = spark.range(1)
+    assert df.select(c.compile("sq(x + 1.0) + eval('2*x')").col).first()[0] == 13.0
+    with pytest.raises(ExpressionError):
+        c.compile("sq(1, 2)")
+    c.compile("srand(5)")
+    assert df.select(c.compile("rand()").col).first()[0] == df.select(F.rand(5)).first()[0]

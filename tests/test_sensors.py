@@ -205,3 +205,36 @@ def test_text_tables(spark, tmp_path):
     assert tables.leaf_descriptor("n[2]/I:x:y/D") == [("n0", "int"), ("n1", "int"), ("x", "float"), ("y", "double")]
     assert tables.TextTable("").rows == []
     assert tables.TextTable("1 2\n3 4\n").columns == ["Column000", "Column001"]
+
+
+def test_visit_and_decode(tmp_path):
+    from dataclasses import dataclass, field
+
+    seen = []
+    trees.visit({"a": {"b": 1, "c": 2}, "d": [3]}, lambda p, n: seen.append(p) or p != "a")
+    assert seen == ["", "a", "d", "d[0]"]
+
+    @dataclass
+    class Channel:
+        name: str
+        gain: float = 1.0
+
+    @dataclass
+    class Board:
+        id: int
+        channel: list[Channel] = field(default_factory=list)
+
+    # the classes are local: their hints are resolved by hand
+    Board.__annotations__ = {"id": int, "channel": list[Channel]}
+    assert trees.decode({"id": 3, "channel": {"name": "a", "other": 1}}, Board) == Board(3, [Channel("a")])
+    p = tmp_path / "t.ktf"
+    p.write_text("# a: 1\n# b:\n#   c: x\n")
+    out = io.StringIO()
+    assert cli.main(["dump", str(p), "--to", "json"], out=out) == 0 and json.loads(out.getvalue()) == {"a": 1, "b": {"c": "x"}}
+
+
+def test_dump_table(spark, tmp_path):
+    p = tmp_path / "t.ktf"
+    p.write_text("# Fields: a b\n1 x\n2 y\n")
+    out = io.StringIO()
+    assert cli.main(["dump", str(p), "--to", "csv"], spark, out) == 0 and out.getvalue() == "a,b\n1,x\n2,y\n"

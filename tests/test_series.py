@@ -135,3 +135,31 @@ def test_golden_transcript(spark):
     pairs = [(1646431200 + 1.3 + 10 * k, v) for k, v in enumerate([4.999, 5.0, 4.999, 5.0, 5.001, 5.0])]
     got = [r.x for r in resample.resample(series(spark, pairs), resample.Grid.by_time(1646431200, 1646431260, 20), "mean").orderBy("k").collect()]
     assert got == pytest.approx([4.9995, 4.9995, 5.0005])
+
+
+def test_own_reducers(spark):
+    S.register_reducer("range", lambda centre: __import__("pyspark.sql.functions").sql.functions.expr("max(x) - min(x)"))
+    S.register_reducer("py", S.python_reducer(lambda x: x.iloc[0]))
+    df = long(spark, [("a", 1, 1.0), ("a", 2, 4.0), ("b", 1, None)])
+    assert {r["name"]: r["range"] for r in S.reduce(df, ["range"]).collect()} == {"a": 3.0, "b": None}
+    assert {r["name"]: r["py"] for r in S.reduce(df.where("x < 2 or x is null"), ["py"]).collect()} == {"a": 1.0, "b": None}
+    with pytest.raises(ValueError):
+        S.reducer("nothing")
+
+
+def test_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidegauge.streaming import windows
+
+    rows = [("a", f"2021-01-05 00:00:{s:02d}", float(s)) for s in range(0, 60, 5)] + [("a", "2021-01-05 00:00:03", None), (None, "2021-01-05 00:00:03", 1.0)]
+    df = spark.createDataFrame(rows, "n string, ts string, x double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = windows.resample_stream(stream, "n", "ts", "x", 20, 1609804800 + 50, late_s=3600)
+    q = out.writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["t"] - 1609804800: r["x"] for r in spark.table("w").collect()}
+    assert got == {0.0: 2.5, 20.0: 17.5, 40.0: 37.5, 60.0: 52.5}  # buckets end at :50, :30, :10
+    with pytest.raises(ValueError):
+        windows.resample_stream(stream, "n", "ts", "x", 20, 0, "median")

@@ -1,4 +1,4 @@
-"""Command line: ``list`` sensors and ``get`` their data."""
+"""Command line: ``list`` sensors, ``get`` their data, ``dump`` a tree or table file in another format."""
 
 from __future__ import annotations
 
@@ -55,6 +55,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--summary", nargs="?", const="n,mean,std")
             c.add_argument("--series", action="store_true")
             c.add_argument("--json", action="store_true")
+    c = sub.add_parser("dump")
+    c.add_argument("file")
+    c.add_argument("--to", default="json", choices=["json", "ktf", "yaml", "xml", "plist", "ini", "xpvp", "csv", "table"])
     return p
 
 
@@ -68,7 +71,17 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     a = parser().parse_args(argv)
     out = out or sys.stdout
     say = lambda s: print(s, file=out)
+    if a.command == "dump" and a.to not in ("csv", "table"):
+        from tidegauge.sources import trees
+
+        say(trees.WRITERS["." + a.to](trees.load_tree(a.file)).rstrip("\n"))
+        return 0
     spark = spark or SparkSession.builder.appName("tidegauge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.command == "dump":
+        from tidegauge.sources import tables
+
+        say(tables.to_text(tables.read_table(spark, a.file).drop("segment"), ".csv" if a.to == "csv" else ".ktf").rstrip("\n"))
+        return 0
     source = None
     if a.data:
         source = Source.jdbc(spark, a.data) if ":" in a.data.split("/")[0] else Source.parquet(spark, a.data, a.names)

@@ -40,7 +40,7 @@ class Compiler:
     """
 
     def __init__(self, variables: dict[str, Value], functions: dict[str, Callable[..., Value]] | None = None, strict: bool = False):
-        self.variables, self.functions, self.strict = variables, functions or {}, strict
+        self.variables, self.functions, self.strict, self.seed = variables, functions or {}, strict, None
 
     def compile(self, text: str | tuple) -> Value:
         return self.node(X.parse(text) if isinstance(text, str) else text)
@@ -309,7 +309,12 @@ class Compiler:
             v = values[0]
             return Value(F.map_keys(v.col) if v.type == "map" else F.array_repeat(F.lit(""), F.size(self.listed(v).col)), "list", "string")
         if name == "rand" and not values:
-            return Value(F.rand(), "double")
+            return Value(F.rand() if self.seed is None else F.rand(self.seed), "double")
+        if name == "srand" and len(args) == 1 and args[0][0] == "lit":
+            self.seed = int(args[0][1])
+            return Value(F.lit(None).cast("long"), "void")
+        if name in ("evaluate", "eval") and len(args) == 1 and args[0][0] == "lit":
+            return self.compile(args[0][1])  # the text has to be known when the plan is made
         if name == "complex" and len(values) == 2:
             return Value(F.struct(self.double(values[0], name).alias("re"), self.double(values[1], name).alias("im")), "complex")
         if name == "atan2" and len(values) == 2:
@@ -365,6 +370,18 @@ class Compiler:
         return Value(col, "double")
 
 
+def macro(parameters: list[str], body: str) -> Callable[..., Value]:
+    """A function defined by an expression, inlined where it is called: for ``functions`` of the compiler."""
+    node = X.parse(body)
+
+    def call(*args: Value) -> Value:
+        if len(args) != len(parameters):
+            raise ExpressionError(f"{len(parameters)} arguments wanted, {len(args)} given")
+        return Compiler(dict(zip(parameters, args))).node(node)
+
+    return call
+
+
 def pt100(x: Column) -> Column:
     """Temperature of a platinum sensor from its resistance, piece by piece."""
     cubic = [c[0] + x * (c[1] + x * (c[2] + x * c[3])) for _, c in X.PT100_PIECES]

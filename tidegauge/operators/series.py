@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -89,6 +90,22 @@ REDUCERS: dict[str, Callable[[Column | None], Column]] = {
 REDUCERS["n"] = REDUCERS["count"]
 
 
+def register_reducer(name: str, build: Callable[[Column | None], Column]) -> None:
+    """Adds a reducer: a builder of an aggregate over (t, x, i), given the span's centre; the last of a name counts."""
+    REDUCERS[name] = build
+
+
+def python_reducer(f: Callable) -> Callable[[Column | None], Column]:
+    """A reducer from a Python function of a pandas Series of the values there; it gets a group at once, so use it on buckets."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> float:
+        x = x.dropna()
+        return float(f(x)) if len(x) else None
+
+    return lambda centre: run(F.col("x"))
+
+
 def reducer(name: str, centre: Column | None = None) -> Column:
     """Aggregate by name; ``middle`` needs the span's centre."""
     if name not in REDUCERS:

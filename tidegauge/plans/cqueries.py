@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge import model, sensors
-from tidegauge.functions.columns import compile_expression
-from tidegauge.operators import validity
+from tidegauge.functions.columns import compile_expression, macro
+from tidegauge.functions.text import Formatter, Scanner
+from tidegauge.operators import series as S
 from tidegauge.plans import pqueries
 from tidegauge.plans.app import App
 from tidegauge.plans.squeries import START, STOP, series
@@ -155,6 +156,37 @@ def string_functions(spark, d):
     return model.table(spark, d, "customer").select("c_custkey", *(compile_expression(t, v).col.alias(n) for n, t in texts.items()))
 
 
+@query(
+    "select c_custkey, lpad(cast(c_custkey as varchar), 9, '0') || ' ' || printf('%.2f', c_acctbal) || ' ' || lower(to_hex(c_custkey)) as line, cast(split_part(c_name, '#', 2) as bigint) as number,"
+    " split_part(c_name, '#', 1) as word, length(split_part(c_name, '#', 2)) as left_over from customer"
+)
+def text_format(spark, d):
+    """Formatter and scanner: padded, fixed and hexadecimal numbers; words and numbers back from text."""
+    f = Formatter().setfill("0").setw(9).put(F.col("c_custkey"), "long").put(" ").fixed().setprecision(2).put(F.col("c_acctbal"), "double").put(" ").hex().put(F.col("c_custkey"), "long")
+    s = Scanner(F.col("c_name"))
+    word, left = s.get_line("#"), s.gcount()
+    return model.table(spark, d, "customer").select("c_custkey", f.flush().alias("line"), s.get("long").alias("number"), word.alias("word"), left.alias("left_over"))
+
+
+@query("select event_type as name, round(max(value) - min(value), 6) as spread, count(*) as n from events where value is not null and event_type is not null group by 1")
+def custom_reducer(spark, d):
+    """Reducers of one's own: one as an aggregate, one in Python."""
+    S.register_reducer("spread", lambda centre: F.max("x") - F.min("x"))
+    S.register_reducer("size", S.python_reducer(len))
+    s = series(spark, d).where("x is not null")
+    a = s.groupBy("name").agg(S.reducer("spread").alias("spread"))
+    b = s.groupBy("name").agg(S.reducer("size").cast("long").alias("n"))
+    return a.join(b, "name").select("name", F.round("spread", 6).alias("spread"), "n")
+
+
+@query("select event_id, round((value + 1) * (value + 1) / 2 + 3, 6) as y from events where value is not null")
+def macro_function(spark, d):
+    """A function defined by an expression, and a text evaluated when the plan is made."""
+    e = model.table(spark, d, "events").where("value is not null")
+    v = compile_expression("half_square(x + 1.0) + evaluate('1 + 2')", {"x": (F.col("value"), "double")}, {"half_square": macro(["a"], "a*a/2.0")})
+    return e.select("event_id", F.round(v.col, 6).alias("y"))
+
+
 @query("select entry_id, sensor_name from (select distinct entry_id, sensor_name from sensor_table) where regexp_matches(sensor_name, '(^|[.])mbar[.](.*[.])?Gas([.]|$)')")
 def find_like(spark, d):
     """Names in which the pattern's parts occur in order, with gaps."""

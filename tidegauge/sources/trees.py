@@ -305,8 +305,41 @@ def set_path(tree: Tree, path: str, value: object) -> None:
         tree = items[index]
 
 
+def visit(tree: object, enter, leave=None, path: str = "") -> None:
+    """Calls ``enter(path, node)`` for every node before its children, which False leaves out, and ``leave`` after them."""
+    if enter(path, tree) is not False:
+        if isinstance(tree, dict):
+            for k, v in tree.items():
+                visit(v, enter, leave, f"{path}{k}" if k.startswith("@") else f"{path}/{k}" if path else k)
+        elif isinstance(tree, list):
+            for i, v in enumerate(tree):
+                visit(v, enter, leave, f"{path}[{i}]")
+    if leave is not None:
+        leave(path, tree)
+
+
+def decode(node: dict, kind: type) -> object:
+    """A dataclass instance from a node: fields by name, nested dataclasses decoded, missing ones left to their defaults."""
+    import dataclasses
+    import typing
+
+    hints = typing.get_type_hints(kind)
+    values = {}
+    for f in dataclasses.fields(kind):
+        if f.name not in node:
+            continue
+        v, hint = node[f.name], hints[f.name]
+        item = typing.get_args(hint)[0] if typing.get_origin(hint) is list and typing.get_args(hint) else None
+        if dataclasses.is_dataclass(hint) and isinstance(v, dict):
+            v = decode(v, hint)
+        elif item is not None:
+            v = [decode(x, item) if dataclasses.is_dataclass(item) else x for x in (v if isinstance(v, list) else [v])]
+        values[f.name] = v
+    return kind(**values)
+
+
 def walk(tree: object, path: str = ""):
-    """``(path, leaf)`` of every leaf in order; a caller that sends False prunes nothing, as leaves have no children."""
+    """``(path, leaf)`` of every leaf in order."""
     if isinstance(tree, dict):
         for k, v in tree.items():
             yield from walk(v, f"{path}{k}" if k.startswith("@") else f"{path}/{k}" if path else k)
