@@ -267,7 +267,7 @@ def test_fit_is_sparse_and_calibrated(lang_model):
     for lang, text in (("en", EN), ("de", DE), ("fr", FR), ("ja", JA)):
         for v in (text, text.upper(), *language.variants(text, 0, 2)):
             own, sums, counts = s.sentences([v])[0]
-            assert lang_model.languages[s.path(sums, counts)[0]] == lang, v
+            assert lang_model.languages[s.path(sums, counts, np.array([True] * len(own)))[0]] == lang, v
 
 
 def test_held_out_accuracy(spark):

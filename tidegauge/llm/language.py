@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Words are runs without blanks, digits, ASCII and common other punctuation.
 _WORD = re.compile(r"[^\s\d\x00-\x40\[-`{-~。、，！？：；・「」（）«»“”„‘’…·|–—]+")
-#: Sentences end with their marks or the line.
-_SENTENCE = re.compile(r"[^\n.!?。！？]*[^\n.!?。！？\s][^\n.!?。！？]*[.!?。！？]*")
+#: A sentence ends with its mark before a blank, with a full-width mark, or with the line.
+_END = re.compile(r"[.!?]+[\"'”»)\]]*(?=\s|\Z)|[。！？]+[」』”\"]*|\n")
+_ADDRESS = re.compile(r"\S*\w\.\w\S*")
 LONGEST = 5  # characters of an n-gram, the word's edges included
 
 # Usual names of the languages; codes of two and three letters (both forms), English and native names.
@@ -48,6 +49,21 @@ def _lower(text: str) -> str:
     return text.replace("İ", "i").lower()
 
 
+def _sentences(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whole) of each sentence or line with content; ``whole`` ones end with a mark, titles and menus don't."""
+    out, at = [], 0
+    for m in _END.finditer(text):
+        end = m.end()
+        whole = text[end - 1] != "\n"
+        part = text[at:end]
+        if not part.isspace():
+            out.append((at + len(part) - len(part.lstrip()), end if whole else end - 1, whole))
+        at = end
+    if at < len(text) and not text[at:].isspace():
+        out.append((at, len(text), False))
+    return out
+
+
 def _grams(word: str) -> list[str]:
     w = f" {word} "
     n = len(w)
@@ -146,9 +162,9 @@ def fit(samples: list[tuple[str, str]], lines: list[tuple[str, str]] = [], epoch
             y = languages.index(lang)
             for v in variants(text, len(out)):
                 out.append((y, _bag(v)))
-            sentences = _SENTENCE.findall(text)
+            sentences = _sentences(text)
             if len(sentences) > 1:
-                out += [(y, _bag(s)) for s in sentences]
+                out += [(y, _bag(text[a:b])) for a, b, _ in sentences]
         return [(y, b) for y, b in out if b]
 
     def learn(bags: list[tuple[int, Counter]]) -> LanguageModel:
@@ -211,7 +227,8 @@ class _Words(dict):
 class Rules:
     least_stretch: int = 200  # characters
     switch: float = 6.0  # cost of a change of language between sentences, in log-likelihood
-    cap: float = 12.0  # most a sentence can say against a language, in log-likelihood
+    cap: float = 40.0  # most a sentence can say against a language, in log-likelihood
+    line_cap: float = 3.0  # likewise a line that isn't a sentence: titles, menus, lists
     words_kept: int = 400_000  # distinct words whose scores a task keeps at once
 
 
@@ -249,17 +266,20 @@ class Segmenter:
             self.counts[need - n : need] = totals
         self.words.fresh = []
 
-    def sentences(self, texts: list[str]) -> list[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
-        """Of each text: the sentences' spans, their summed scores and numbers of n-grams."""
+    def sentences(self, texts: list[str]) -> list[tuple[list[tuple[int, int, bool]], np.ndarray, np.ndarray]]:
+        """Of each text: the sentences' spans, their summed scores and numbers of n-grams. Addresses have no words."""
         if len(self.words) > self.rules.words_kept:
             self._reset()
         words, flat, ends, spans, sizes = self.words, [], [], [], []
         find = _WORD.findall
         for t in texts:
             low = _lower(t)
-            own = [m.span() for m in _SENTENCE.finditer(low)]
-            for a, b in own:
-                flat += [words[w] for w in find(low, a, b)]
+            own = _sentences(low)
+            for a, b, _ in own:
+                if low.find(".", a, b - 1) >= 0:
+                    flat += [words[w] for w in find(_ADDRESS.sub(" ", low[a:b]))]
+                else:
+                    flat += [words[w] for w in find(low, a, b)]
                 ends.append(len(flat))
             spans.append(own)
             sizes.append(len(own))
@@ -283,13 +303,13 @@ class Segmenter:
             at += n
         return out
 
-    def path(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Most likely language of each sentence, changes of language costing ``switch``."""
+    def path(self, sums: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Most likely language of each sentence, changes of language costing ``switch``; other lines say little."""
         score = log_softmax(self.m.logits(sums, counts))
         best = score.argmax(axis=1)
         if len(best) < 2 or (best == best[0]).all():
             return best
-        score = np.maximum(score - score.max(axis=1, keepdims=True), -self.rules.cap)
+        score = np.maximum(score - score.max(axis=1, keepdims=True), -np.where(whole, self.rules.cap, self.rules.line_cap)[:, None])
         score[counts == 0] = 0.0
         k = score.shape[1]
         total, back = score[0], np.zeros((len(score), k), dtype=np.int64)
@@ -304,20 +324,22 @@ class Segmenter:
             out[i - 1] = back[i, out[i]]
         return out
 
-    def segments(self, text: str, own: list[tuple[int, int]], sums: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+    def segments(self, text: str, own: list[tuple[int, int, bool]], sums: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """(start, end, language, confidence, prose) of each stretch in one language.
 
         ``prose`` is the length of its whole sentences: titles and menus, which end without a mark, don't count.
         """
         if not own:
             return []
-        path = self.path(sums, counts)
+        whole = np.array([w for _, _, w in own])
+        path = self.path(sums, counts, whole)
         cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
         out = []
         for a, b in zip(cuts, cuts[1:]):
-            p = np.exp(log_softmax(self.m.logits(sums[a:b].sum(axis=0)[None, :], np.array([counts[a:b].sum()])))[0])
+            said = whole[a:b] if whole[a:b].any() else ~whole[a:b]
+            p = np.exp(log_softmax(self.m.logits(sums[a:b][said].sum(axis=0)[None, :], np.array([counts[a:b][said].sum()])))[0])
             lang = int(path[a])
-            prose = sum(e - s + 1 for s, e in own[a:b] if text[e - 1] in ".!?。！？") - 1
+            prose = sum(e - s + 1 for s, e, w in own[a:b] if w) - 1
             out.append((own[a][0], own[b - 1][1], lang, float(p[lang]), max(prose, 0)))
         return out
 
