@@ -120,4 +120,4 @@ class Scanner:
 
     def gcount(self) -> Column:
         """Characters left."""
-        return F.length(self.rest)
+        return F.length(self.rest).cast("long")

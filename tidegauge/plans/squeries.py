@@ -103,7 +103,7 @@ def _resample_sql(expression: str, offset: float = 0.0, source: str = "g", where
     first, n = _FIRST + offset, resample.Grid.by_time(START, STOP, STEP, offset).n
     return f"""b as (select name, cast(floor((t - {first}) / {STEP}) as bigint) as k, {expression} as x from {source} {where} group by 1, 2),
       names as (select distinct name from {source}), cells as (select name, unnest(range({n})) as k from names),
-      r as (select c.name, c.k, {first} + (c.k + 0.5) * {STEP} as t, b.x from cells c left join b using (name, k))"""
+      r as (select c.name, c.k, cast({first} + (c.k + 0.5) * {STEP} as double) as t, b.x from cells c left join b using (name, k))"""
 
 
 for _n, _sql in _REDUCE_SQL.items():
