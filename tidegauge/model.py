@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,24 @@ def micros(col: Column | str) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless Python finds it there by its path or working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    sc = spark.sparkContext
+    if root in (os.path.abspath(p) for p in places if p) or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), package), "zip", root, package))
+
+
 def utc(spark: SparkSession) -> None:
-    """All times of this library are UTC; a session in another zone is set to it."""
+    """All times of this library are UTC; a session in another zone is set to it. Makes sure of the package, too."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -57,6 +75,15 @@ def partitions_for(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
     return max(least, math.ceil(df.count() / rows_per_task))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+
+    Only an input of fewer files than cores is shuffled, and that one is small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def collected_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list | None:
     """The rows if there are at most ``max_rows``, else None. Never brings more than ``max_rows + 1`` rows to the driver."""
     rows = df.limit(max_rows + 1).collect()

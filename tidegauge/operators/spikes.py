@@ -178,7 +178,7 @@ def impossible(raw: str = "value_raw", common: str = "value_common", quantity: s
     return F.coalesce(F.col(raw).isin([float(c) for c in ERROR_CODES]) | (F.abs(raw) >= OVERLOAD) | low, F.lit(False))
 
 
-def flag_implausible(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def flag_implausible(readings: DataFrame, rules: Rules = Rules(), partitions: int | None = None) -> DataFrame:
     """``(reading_id, endpoint_name, reason)`` of the implausible readings; a reading may have several reasons.
 
     ``readings`` has reading_id, endpoint_name, timestamp, value_raw, value_common and quantity, as
@@ -191,6 +191,7 @@ def flag_implausible(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     delivered more than once counts once; equal timestamps are ordered by id.
 
     Shards are (endpoint, ``shard_seconds``) with ``margin_seconds`` of the neighbours on either side for the charts.
+    They are hashed to ``partitions`` (else one per 200,000 readings, for which the input is counted).
     The shards' findings, few rows, are checkpointed; runs that touch a shard's edge are joined to the next shard's.
     """
     spark = readings.sparkSession
@@ -203,6 +204,8 @@ def flag_implausible(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     around = F.array_distinct(F.array(own, model.floor_div(F.col("us") - margin, width), model.floor_div(F.col("us") + margin, width)))
     r = r.select("*", own.alias("own"), F.explode(around).alias("shard")).withColumn("core", F.col("own") == F.col("shard")).drop("own")
     model.checkpoint_dir(spark)
+    # a fixed number of partitions: small ones aren't merged, as the work lies in the rows and not in the bytes
+    r = r.repartition(partitions or model.partitions_for(readings, 200_000), "endpoint_name", "shard")
     found = r.groupBy("endpoint_name", "shard").applyInPandas(_shard(rules), _STAGE).checkpoint()
 
     # Runs across shards: rows that touch an edge, in time order, are chained while the value stays.

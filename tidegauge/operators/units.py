@@ -56,14 +56,20 @@ def normal(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(col, r"\s+", " ")))
 
 
-def alias_table(unit_def: DataFrame) -> DataFrame:
-    """(alias, unit, quantity, common_unit, factor, shift) for every spelling of the units in ``unit_def``."""
-    spark = unit_def.sparkSession
-    rows = [(a, u) for u, more in ALIASES.items() for a in more]
-    known = spark.createDataFrame(rows, "alias string, unit string")
-    defs = unit_def.where("unit is not null").dropDuplicates(["unit"]).select("unit", "quantity", "common_unit", "factor", "shift")
+_UNIT_COLUMNS = ("unit", "quantity", "common_unit", "factor", "shift")
+
+
+def definitions(unit_def: DataFrame, max_rows: int = model.BROADCAST_ROWS) -> DataFrame:
+    """Each unit once, held and broadcast if the table is small, so that its uses don't read it again."""
+    return model.broadcast_if_small(unit_def.where("unit is not null").dropDuplicates(["unit"]).select(*_UNIT_COLUMNS), max_rows)
+
+
+def alias_table(defs: DataFrame) -> DataFrame:
+    """(alias, unit) for every spelling of the units in ``defs``; a spelling of two units stands for the first in order."""
+    spark = defs.sparkSession
+    known = spark.createDataFrame([(a, u) for u, more in ALIASES.items() for a in more], "alias string, unit string").join(defs.select("unit"), "unit", "left_semi")
     own = defs.select(normal(F.col("unit")).alias("alias"), "unit")
-    return own.union(known).join(defs, "unit").dropDuplicates(["alias"]).select("alias", "unit", "quantity", "common_unit", "factor", "shift")
+    return own.unionByName(known).groupBy("alias").agg(F.min("unit").alias("unit"))
 
 
 def memo_unit_text(memo: str, value: str) -> Column:
@@ -109,7 +115,8 @@ def to_common_units(readings: DataFrame, states: DataFrame, unit_def: DataFrame,
     """
     added = ("unit", "quantity", "common_unit", "value_common")
     kept = [c for c in readings.columns if c not in added]
-    aliases = model.broadcast_if_small(alias_table(unit_def), broadcast_rows)
+    defs = definitions(unit_def, broadcast_rows)
+    aliases = model.broadcast_if_small(alias_table(defs), broadcast_rows)
     spans = unit_versions(states, aliases).select(*(F.col(c).alias(f"{c}__") for c in ("endpoint_name", "from_us", "to_us", "source_unit")))
     spans = model.broadcast_if_small(spans, broadcast_rows)
     r = readings.select(*kept).withColumns({"at__": model.micros("timestamp"), "memo__": memo_unit_text("memo", "value_raw"), "name__": normal(F.element_at(F.split("endpoint_name", "_"), 1))})
@@ -117,8 +124,7 @@ def to_common_units(readings: DataFrame, states: DataFrame, unit_def: DataFrame,
     short = lambda key, name: aliases.select(F.col("alias").alias(key), F.col("unit").alias(name))
     r = r.join(short("memo__", "u1__"), "memo__", "left").join(short("name__", "u3__"), "name__", "left")
     r = r.withColumn("unit__", F.coalesce("u1__", "source_unit__", "u3__"))
-    defs = unit_def.where("unit is not null").dropDuplicates(["unit"])
-    defs = model.broadcast_if_small(defs.select(*(F.col(c).alias(f"{c}__") for c in ("unit", "quantity", "common_unit", "factor", "shift"))), broadcast_rows)
-    r = r.join(defs, "unit__", "left")
+    named = defs.select(*(F.col(c).alias(f"{c}__") for c in _UNIT_COLUMNS))
+    r = r.join(named, "unit__", "left")
     value = model.value_or_null("value_raw") * F.col("factor__") + F.col("shift__")
     return r.select(*kept, *(F.col(f"{c}__").alias(c) for c in added[:3]), value.alias("value_common"))

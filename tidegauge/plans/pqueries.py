@@ -53,13 +53,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     calibrated = model.broadcast_if_small(entries.where("default_calibration is not null").select("endpoint_name").distinct())
     readings = model.table(spark, d, "numeric_data").where(model.has_value("value_raw")).where("reading_id is not null and timestamp is not null")
     events = readings.select("endpoint_name", "reading_id", model.micros("timestamp").alias("at_us")).join(calibrated, "endpoint_name", "left_semi")
-    joined = validity.as_known_at(events, validity.current_states(entries, VERSION))
+    buckets = model.partitions_for(model.table(spark, d, "numeric_data"))
+    joined = validity.as_known_at(events, validity.current_states(entries, VERSION), buckets=buckets)
     return joined.where("entry_id is not null").select("entry_id", "reading_id").distinct()
 
 
 def p6_implausible(spark: SparkSession, d: str) -> DataFrame:
     """Implausible readings with the reason."""
-    return spikes.flag_implausible(common(spark, d))
+    # the table's own count is read from the files' footers
+    return spikes.flag_implausible(common(spark, d), partitions=model.partitions_for(model.table(spark, d, "numeric_data"), 200_000))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
