@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge import model
+
 #: Words are runs without blanks, digits, ASCII and common other punctuation.
 _WORD = re.compile(r"[^\s\d\x00-\x40\[-`{-~。、，！？：；・「」（）«»“”„‘’…·|–—]+")
 #: A sentence ends with its mark before a blank, with a full-width mark, or with the line.
@@ -413,7 +415,7 @@ def _apply(documents: DataFrame, m: LanguageModel, rules: Rules, schema: str, ro
 
     texts = documents.where("doc_id is not null and text is not null and trim(text) <> ''")
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([label.alias("label")] if label is not None else []))
-    return texts.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in parts))
+    return model.spread(texts).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in parts))
 
 
 def segments(documents: DataFrame, m: LanguageModel, rules: Rules = Rules()) -> DataFrame:

@@ -33,7 +33,8 @@ def count_tokens(documents: DataFrame, tokenizer: str = tokens.DEFAULT_FILE) ->
             n = [len(tokens.encode(t, tokenizer)) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n, type=pa.int64())], names=["doc_id", "source", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text").mapInArrow(run, "doc_id long, source string, n_tokens long")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text")
+    return model.spread(texts).mapInArrow(run, "doc_id long, source string, n_tokens long")
 
 
 def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, largest_gap: int = 65_536) -> np.ndarray:

@@ -141,7 +141,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = tokens.DEF
     """
     d = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = max(1, math.ceil(documents.count() / items_per_shard))
-    pieces = d.mapInArrow(_pieces(capacity, tokenizer), _PIECE)
+    pieces = model.spread(d).mapInArrow(_pieces(capacity, tokenizer), _PIECE)
     # The hash mixes all lengths into every shard; full pieces go along, as containers of their own.
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
     return pieces.groupBy("shard").applyInArrow(_packer(capacity, ""), _CONTAINER)
