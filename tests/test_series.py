@@ -127,6 +127,9 @@ def test_frame_and_slices(spark):
     assert S.keep(df, lambda x: x > 980).count() == 1
     empty = df.where("false")
     assert resample.resample(empty, resample.Grid.by_time(0, 10, 1), "mean").count() == 0
+    assert resample.align(empty, "min").n == 0
+    with pytest.raises(ValueError):
+        resample.align(long(spark, [("a", 1, 1.0), ("a", 1, 2.0)]), "auto")
     assert resample.numbered_columns(2) == ["Column000", "Column001"]
 
 

@@ -45,23 +45,24 @@ def align(df: DataFrame, how: str, spans: dict[str, tuple[float, float]] | None
 
     ``auto``: the upper median of their sampling intervals (1 if there is none), starts and stops; ``min``: the shortest
     interval (10) over the union of spans; ``max``: the longest (10) over their intersection. A span is that of the points,
-    the last one excluded as an end, unless ``spans`` gives it. One row per series comes to the driver, not the points.
+    the last one excluded as an end, unless ``spans`` gives it. Without a series there is no bucket; repeated times that make
+    the interval 0 are an error. One row per series comes to the driver, not the points.
     """
     steps = {r["name"]: r["dt"] for r in S.sampling_interval(df).collect()}
     if spans is None:
         spans = {r["name"]: (r["a"], r["b"]) for r in df.groupBy("name").agg(F.min("t").alias("a"), F.max("t").alias("b")).collect()}
     dt = sorted(v for v in steps.values() if v is not None)
     starts, stops = sorted(a for a, _ in spans.values()), sorted(b for _, b in spans.values())
+    if how not in ("auto", "min", "max"):
+        raise ValueError(f"no alignment {how}")
     if not starts:
-        raise ValueError("no series")
+        return Grid(0.0, 1.0, 0)
     if how == "auto":
         pick = lambda v: v[len(v) // 2]
         return Grid.by_time(pick(starts), pick(stops), pick(dt) if dt else 1.0)
     if how == "min":
         return Grid.by_time(starts[0], stops[-1], dt[0] if dt else 10.0)
-    if how == "max":
-        return Grid.by_time(starts[-1], stops[0], dt[-1] if dt else 10.0)
-    raise ValueError(f"no alignment {how}")
+    return Grid.by_time(starts[-1], stops[0], dt[-1] if dt else 10.0)
 
 
 def resample(df: DataFrame, grid: Grid, reducer: str, filler: str = "none", value: float | None = None, names: list[str] | None = None) -> DataFrame:
