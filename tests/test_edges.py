@@ -1,4 +1,4 @@
-"""Every registered query on empty tables and on tables with NULLs in every column, repeated rows and an extra column."""
+"""The data problems' queries on empty tables and on tables with NULLs in every column, repeated rows and an extra column."""
 
 import os
 
@@ -25,7 +25,10 @@ def test_queries_on_odd_tables(spark, tmp_path, kind):
                 out = out.union(df.limit(1).withColumn(f.name, F.lit(None).cast(f.dataType)))
             out = out.withColumn("unit_x", F.lit(1))
         out.coalesce(1).write.parquet(f"{tmp_path}/{p}")
+    wanted = ("_found", "frame_wide", "p4_percentiles", "p7_containers", "p8_corpus", "align_auto")
     for name, q in __spark_entry__.queries().items():
+        if not name.endswith(wanted):
+            continue
         if kind == "nulls" and name in RAISES:
             with pytest.raises(ValueError):
                 q(spark, str(tmp_path))
