@@ -35,6 +35,12 @@ def has_value(col: Column | str) -> Column:
     return col.isNotNull() & ~F.isnan(col)
 
 
+def significant(col: Column | str, digits: int) -> Column:
+    """A double rounded to so many significant digits; NULL stays NULL."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col)).cast("double")
+
+
 def micros(col: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, read as UTC. Needs a session in UTC, see :func:`utc`."""
     col = F.col(col) if isinstance(col, str) else col

@@ -28,9 +28,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_common_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every reading with a value, in its quantity's common unit (NULL where the unit is unknown)."""
-    c = common(spark, d).select("reading_id", "endpoint_name", "quantity", "common_unit", F.round("value_common", 6).alias("value_common"))
-    return c.distinct()
+    """Every reading with a value, in its quantity's common unit (NULL where the unit is unknown), exactly as computed."""
+    return common(spark, d).select("reading_id", "endpoint_name", "quantity", "common_unit", "value_common").distinct()
 
 
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
@@ -42,9 +41,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_regular_series(spark: SparkSession, d: str) -> DataFrame:
-    """Whole regular series; the day as text, values rounded to 6 places."""
+    """Whole regular series; the day as text, values to nine significant digits (a mean's last bits depend on the order of its values)."""
     return p3_series(spark, d).select(
-        "endpoint_name", F.col("day").cast("string").alias("day"), "cell_start", F.col("n").cast("long").alias("n"), "status", F.round("filled", 6).alias("filled"))
+        "endpoint_name", F.col("day").cast("string").alias("day"), "cell_start", F.col("n").cast("long").alias("n"), "status",
+        model.significant("filled", 9).alias("filled"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -131,11 +131,11 @@ carried as (select *, last_value(case when n is not null then cell end ignore nu
 """
 ORACLE = {
     "p2_found": f"with {_UNITS} select distinct reading_id, unit from united where unit <> common_unit",
-    "p2_common_values": f"with {_UNITS} select distinct reading_id, endpoint_name, quantity, common_unit, round(value_common, 6) as value_common from united",
+    "p2_common_values": f"with {_UNITS} select distinct reading_id, endpoint_name, quantity, common_unit, value_common from united",
     "p3_found": f"with {_GRID} select endpoint_name, cell_start from full_grid where n is null",
     "p3_regular_series": f"""with {_GRID} select endpoint_name, cast(date '1970-01-01' + cast(day as integer) as varchar) as day, cell_start, coalesce(n, 0) as n,
         case when n is not null then 'read' when (cell - last_cell) * period_s <= 60 then 'filled' else 'missing' end as status,
-        round(case when (cell - last_cell) * period_s <= 60 then last_value end, 6) as filled from carried""",
+        cast(printf('%.8e', case when (cell - last_cell) * period_s <= 60 then last_value end) as double) as filled from carried""",
     "p5_found": f"""with {_ENTRIES} select distinct entry_id, reading_id from applying where entry_id is not null
         and endpoint_name in (select endpoint_name from entries where default_calibration is not null)""",
 }
