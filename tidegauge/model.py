@@ -81,6 +81,12 @@ def partitions_for(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
     return max(least, math.ceil(df.count() / rows_per_task))
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files that a plan reads, as the optimizer knows it; 0 where it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 2**60 else 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
 
