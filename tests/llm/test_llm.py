@@ -167,6 +167,27 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.where("false"), capacity, TOKENIZER).count() == 0
 
 
+def test_blocks_bound_the_packer():
+    """100 texts of 100 pieces and many rests: never more than a block of items waits, full pieces pass through."""
+    import pyarrow as pa
+
+    blob = lambda n: b"s" + np.zeros(n, dtype="<u2").tobytes()
+    rows = [(d, p, p * 64, 64, blob(64)) for d in range(100) for p in range(100)] + [(d, 100, 6400, 1 + d % 63, blob(1 + d % 63)) for d in range(1000)]
+    random.Random(1).shuffle(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * len(rows)), *(pa.array(c, type=f.type) for c, f in zip(zip(*rows), packing._PIECE_FIELDS))], names=["part", *packing._PIECE_FIELDS.names])
+    p, most, out = packing._Packer(64, 50), 0, []
+    for c in p.containers(iter([batch])):
+        most = max(most, len(p.waiting))
+        out.append(c)
+    assert most <= 50 and len(out) == len({c[0] for c in out})
+    assert sorted((d, x) for c in out for d, x in zip(c[3], c[4])) == sorted((r[0], r[1]) for r in rows)
+    assert sum(c[1] for c in out if c[2] > 1) / (64 * sum(c[2] > 1 for c in out)) > 0.97
+    # nothing fits together: the items carried over stay bounded, too
+    p, same = packing._Packer(64, 50), [(d, 0, 0, 40, blob(40)) for d in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 500), *(pa.array(c, type=f.type) for c, f in zip(zip(*same), packing._PIECE_FIELDS))], names=["part", *packing._PIECE_FIELDS.names])
+    assert len(list(p.containers(iter([batch])))) == 500
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_tokenizers(name):
     path = TOKENIZER.rsplit("/", 1)[0] + "/" + name
