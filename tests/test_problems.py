@@ -152,6 +152,39 @@ def test_spikes(spark, readings):
     assert spikes.flag_implausible(df.where("false")).count() == 0
 
 
+def test_charts_in_blocks_agree_with_whole_ones():
+    """Blocks with a lead give every value the deviation that one chart of the whole series gives it."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 1, 3000).cumsum() * 0.05 + rng.normal(0, 0.2, 3000), rng.lognormal(0, 1, 40), [1.0, 2.0], rng.normal(5, 1, 700)])
+    v[[500, 900, 901, 2000]] += 9
+    counts, starts = rng.integers(1, 3, len(v)), np.array([0, 3000, 3040, 3042, len(v)])
+    whole = spikes.charts(v, counts, starts, spikes.Rules(chart_block=100_000))
+    parts = spikes.charts(v, counts, starts, spikes.Rules())
+    assert np.abs(np.log1p(whole) - np.log1p(parts)).max() < 1e-3
+    assert ((whole > 6) == (parts > 6)).all() and not whole[3040:3042].any()
+
+
+def test_values_held_by_nature_stay_in_their_shards(spark, readings):
+    """One source holds a value for all its readings: its ids never leave the shards' rows, and nothing is flagged."""
+    rows = [(k, "Setp", 60.0 * k, 4.0) for k in range(3000)] + [(10_000 + k, "b", 60.0 * k, float(k * 37 % 101)) for k in range(3000)]
+    df = readings(rows).withColumns({"value_common": F.col("value_raw"), "quantity": F.lit(None).cast("string")})
+    most = []
+    real = spikes._findings
+
+    def watched(t, rules):
+        for b in real(t, rules):
+            most.extend(len(x) for x in b["reading_ids"].to_pylist() if x is not None)
+            yield b
+
+    assert spikes.flag_implausible(df, spikes.Rules(shard_seconds=3600, margin_seconds=600)).count() == 0
+    import pyarrow as pa
+
+    us = np.arange(3000) * 60_000_000
+    t = pa.table({"endpoint_name": ["Setp"] * 3000, "shard": us // 3_600_000_000, "us": us, "reading_id": np.arange(3000), "v": np.full(3000, 4.0), "flags": np.full(3000, 2, dtype=np.int8)})
+    list(watched(t, spikes.Rules()))
+    assert max(most) == 60 and sum(most) == 3000
+
+
 def test_stuck_run_over_shards(spark, readings):
     rng = np.random.default_rng(1)
     v = rng.normal(0, 1, 400)
