@@ -141,14 +141,14 @@ carried as (select *, last_value(case when n is not null then cell end ignore nu
 """
 _CODES = ", ".join(f"{c!r}" for c in spikes.ERROR_CODES)
 _RUNS = f"""
-timed as (select distinct reading_id, endpoint_name, at, coalesce(value_common, value_raw) as v from united where reading_id is not null and endpoint_name is not null and at is not null),
-stepped as (select *, case when v = lag(v) over (partition by endpoint_name order by at, reading_id) then 0 else 1 end as new from timed),
-numbered as (select *, sum(new) over (partition by endpoint_name order by at, reading_id rows unbounded preceding) as run from stepped),
+timed as (select distinct reading_id, endpoint_name, "at", coalesce(value_common, value_raw) as v from united where reading_id is not null and endpoint_name is not null and "at" is not null),
+stepped as (select *, case when v = lag(v) over (partition by endpoint_name order by "at", reading_id) then 0 else 1 end as new from timed),
+numbered as (select *, sum(new) over (partition by endpoint_name order by "at", reading_id rows unbounded preceding) as run from stepped),
 runs as (select endpoint_name, run, count(*) as n from numbered group by 1, 2),
 usual as (select endpoint_name, quantile_disc(n, 0.5) as half, quantile_disc(n, 0.9) as most from runs group by 1)
 """
 ORACLE = {
-    "p6_impossible": f"""with {_UNITS} select distinct reading_id, endpoint_name from united where reading_id is not null and endpoint_name is not null and at is not null
+    "p6_impossible": f"""with {_UNITS} select distinct reading_id, endpoint_name from united where reading_id is not null and endpoint_name is not null and "at" is not null
         and (value_raw in ({_CODES}) or abs(value_raw) >= 1e30 or (quantity = 'temperature' and value_common < -273.15 - 1e-9 * 273.15) or (quantity = 'pressure' and value_common < 0))""",
     "p6_stuck": f"""with {_UNITS}, {_RUNS} select reading_id, endpoint_name from numbered join runs using (endpoint_name, run) join usual using (endpoint_name)
         where half < 10 and n >= 10 and n >= 3 * most""",
