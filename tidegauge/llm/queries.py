@@ -43,6 +43,23 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return daily.unionByName(overall)
 
 
+def p4_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Each percentile's true rank against its stated bound, with the exact count and extremes, per endpoint and day and overall."""
+    found = p4_percentiles(spark, d)
+    names = [c for c in found.columns if c[0] == "p" and c[1:].replace("_", "").isdigit()]
+    r = model.table(spark, d, "numeric_data").where(model.has_value("value_raw")).where("endpoint_name is not null and timestamp is not null")
+    r = r.select("reading_id", "endpoint_name", F.col("timestamp").cast("date").cast("string").alias("day"), "value_raw").distinct()
+    r = r.withColumn("day", F.explode(F.array("day", F.lit("all")))).join(model.broadcast_if_small(found), ["endpoint_name", "day"])
+    ranks = [c for p in names for c in (F.count_if(F.col("value_raw") < F.col(p)).alias(f"{p}_below"), F.count_if(F.col("value_raw") <= F.col(p)).alias(f"{p}_upto"))]
+    r = r.groupBy("endpoint_name", "day", "n", "least", "most", "rank_error").agg(*ranks)
+
+    def within(p: str, q: float):
+        want, slack = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n") - 1e-9)), F.col("rank_error") * F.col("n") + 1e-6
+        return ((F.col(f"{p}_below") + 1 - want <= slack) & (want - F.col(f"{p}_upto") <= slack)).alias(f"{p}_within")
+
+    return r.select("endpoint_name", "day", "n", "least", "most", *(within(p, q) for p, q in zip(names, QUANTILES)))
+
+
 TOKENIZER = tokens.DEFAULT_FILE
 CAPACITY = 2048
 
@@ -57,6 +74,18 @@ def p7_space(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), CAPACITY)
 
 
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The containers' contents put together again: each document's pieces in order, decoded to its text, as a digest."""
+    c = p7_containers(spark, d)
+    item = F.explode(F.arrays_zip("doc_ids", "pieces", "starts", "lengths", F.sequence(F.lit(0), F.col("n_items") - 1).alias("no")))
+    before = F.aggregate(F.slice("lengths", F.lit(1), F.col("i.no")), F.lit(0), lambda s, x: s + x)
+    items = c.select("token_ids", "lengths", item.alias("i")).select(F.col("i.doc_ids").alias("doc_id"), F.col("i.pieces").alias("piece"), F.col("i.starts").alias("start"), F.slice("token_ids", before + 1, F.col("i.lengths")).alias("ids"))
+    docs = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "ids"))).alias("p"))
+    apart = F.transform("p", lambda x, i: (x["piece"] == i) & (x["start"] == i * CAPACITY) & ((F.size(x["ids"]) == CAPACITY) | (i == F.size("p") - 1)))
+    docs = docs.select("doc_id", F.forall(apart, lambda x: x).alias("in_order"), F.flatten("p.ids").alias("ids"))
+    return docs.select("doc_id", "in_order", F.md5(tokens.decoder(TOKENIZER)("ids")).alias("digest"))
+
+
 def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The mixed corpus: documents with the number of copies and the share their source reaches."""
     model.checkpoint_dir(spark)
@@ -71,6 +100,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target: whether its documents exist and keep to its most repeats, and the share reached, to three places."""
+    t = model.table(spark, d, "mix_target").where("source is not null and target_share > 0 and max_repeats > 0").select(mixing.source_key().alias("source"), "target_share", "max_repeats")
+    used = p8_corpus(spark, d).groupBy("source").agg(F.max("copies").alias("most"), F.max("reached_share").alias("share"), F.count_distinct("doc_id").alias("ids"), F.count("*").alias("rows"))
+    kept = (F.col("most") <= F.col("max_repeats")) & (F.col("ids") == F.col("rows"))
+    return t.join(used, "source", "left").select("source", F.coalesce(kept, F.lit(True)).alias("kept"), F.round(F.coalesce("share", F.lit(0.0)), 3).alias("share"))
+
+
 def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, language.LanguageModel]:
     documents = model.table(spark, d, "documents")
     return documents, language.train(model.table(spark, d, "lang_sample"), documents)
@@ -94,7 +131,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.relabelled(documents, m).select("doc_id", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles, p7_containers, p7_space, p8_corpus, p8_shares, p9_found, p9_languages, p9_segments)}
+def p9_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each page's stretches lie in its text, follow each other without overlap and bear confidences from 0 to 1."""
+    s = p9_segments(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("segment", "start", "stop", "lang", "confidence"))).alias("s"))
+    t = model.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("size"))
+    ordered = F.transform("s", lambda x, i: (x["segment"] == i) & (x["start"] < x["stop"]) & (x["stop"] <= F.col("size")) & ((i == 0) | (F.col("s")[i - 1]["stop"] <= x["start"])))
+    changes = F.transform("s", lambda x, i: (i == 0) | (F.col("s")[i - 1]["lang"] != x["lang"]))
+    sure = F.transform("s", lambda x: (x["confidence"] >= 0) & (x["confidence"] <= 1))
+    every = lambda c: F.forall(c, lambda x: x)
+    return s.join(t, "doc_id").select("doc_id", every(ordered).alias("in_text"), every(changes).alias("changes"), every(sure).alias("sure"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_checks, p4_percentiles, p4_bound, p7_containers, p7_space, p7_round_trip, p8_corpus, p8_shares, p8_limits, p9_found, p9_languages, p9_segments, p9_confidence)}
 
 _SPELL = "regexp_replace(replace(lower(trim({0}, ' \t\n')), '.', '_'), '_lyra$', '')"
 _P1 = f"""
@@ -117,5 +165,16 @@ best as (select * from near where abs(delta_us) <= {TOLERANCE_US} qualify row_nu
 """
 ORACLE = {
     "p1_found": f"with {_P1} select check_id, reading_id from best",
+    "p4_bound": """with r as (select distinct reading_id, endpoint_name, "timestamp" as t, value_raw as v from numeric_data
+        where value_raw is not null and not isnan(value_raw) and endpoint_name is not null and "timestamp" is not null),
+      k as (select *, cast(cast(t as date) as varchar) as day from r union all select *, 'all' from r)
+      select endpoint_name, day, count(*) as n, min(v) as least, max(v) as most, """
+    + ", ".join(f"true as p{100 * q:g}_within" for q in QUANTILES)
+    + " from k group by 1, 2",
+    "p7_round_trip": "select doc_id, true as in_order, md5(text) as digest from documents where doc_id is not null and text <> ''",
+    "p8_limits": r"""with t as (select lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source, target_share as share from mix_target where source is not null and target_share > 0 and max_repeats > 0),
+      there as (select distinct lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source from documents where text <> '' and doc_id is not null)
+      select source, true as kept, round(case when source in (select source from there) then share / (select sum(share) from t where source in (select source from there)) else 0 end, 3) as share from t""".replace("\\s", "\s"),
+    "p9_confidence": r"select doc_id, true as in_text, true as changes, true as sure from documents where doc_id is not null and regexp_matches(text, '\S')".replace("\\S", "\S"),
     "p1_checks": f"with {_P1} select check_id, c.endpoint, c.value_ref, b.reading_id, b.value_raw, b.delta_us from checks c left join best b using (check_id)",
 }

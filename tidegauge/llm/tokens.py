@@ -8,6 +8,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 DEFAULT_FILE = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: how the byte-level BPE vocabularies split text before merging.
@@ -17,6 +19,13 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str = DEFAULT_FILE) -> dict[int, bytes]:
+    """Bytes of each token of a ``.tiktoken`` file."""
+    with open(path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str = DEFAULT_FILE):
     """A function from a text to its token ids (a list of int); special strings are ordinary text.
@@ -26,8 +35,7 @@ def encoder(path: str = DEFAULT_FILE):
     if path.endswith(".tiktoken"):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {token: i for i, token in vocabulary(path).items()}
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     if path.endswith(".json"):
         from tokenizers import Tokenizer
@@ -61,3 +69,14 @@ def encode(text: str | None, path: str = DEFAULT_FILE, block: int = 100_000) ->
         out.append(np.asarray(f(text[at:end]), dtype=np.int32))
         at = end
     return np.concatenate(out)
+
+
+def decoder(path: str = DEFAULT_FILE):
+    """A column function from token ids to the text's bytes, for byte-level vocabularies (``.tiktoken``)."""
+
+    @F.pandas_udf("binary")
+    def run(ids: pd.Series) -> pd.Series:
+        table = vocabulary(path)
+        return ids.map(lambda x: b"".join(table[i] for i in x))
+
+    return run
