@@ -8,6 +8,7 @@ sum of these halves, kept with the summary, bounds the whole error whatever the
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -126,16 +127,32 @@ def _rows(table: pa.Table) -> list[dict]:
     return out
 
 
-def summarise(readings: DataFrame, group: str, timestamp: str, value: str, identity: str, k: int = 512, fan_in: int = 16, slice_seconds: int = 43_200) -> DataFrame:
+def summarise(
+    readings: DataFrame, group: str, timestamp: str, value: str, identity: str, k: int = 512, fan_in: int = 16, slice_seconds: int = 43_200, rows_per_group: int = 200_000
+) -> DataFrame:
     """``(group, day, <summary>)``: one mergeable summary per group and UTC day (days since 1970).
 
     Values that are NULL or NaN, and rows with a NULL group or time, don't count; rows of the same ``identity`` in the
-    same group and time slice count once, those without identity all count. A first stage summarises slices of a
-    day, so that a hot group spreads and only summaries meet.
+    same group and time slice count once, those without identity all count.
+
+    A first stage summarises slices of a day, so that a hot group spreads and only summaries meet. Slices of more than
+    ``rows_per_group`` rows, found by counting, are salted by a hash of the identity: repeats still meet, and no task gets
+    more than about ``rows_per_group`` values. The salts' summaries merge 32 at a time.
     """
+    model.utc(readings.sparkSession)
     us = model.micros(timestamp)
     r = readings.where(model.has_value(value) & F.col(group).isNotNull() & F.col(timestamp).isNotNull())
     r = r.select(F.col(group).cast("string").alias("g__"), model.floor_div(us, slice_seconds * 1_000_000).alias("s__"), F.col(identity).alias("i__"), F.col(value).cast("double").alias("v__"))
+    hot = r.groupBy("g__", "s__").agg(F.ceil(F.count("*") / rows_per_group).alias("salts__")).where("salts__ > 1")
+    hot = model.local_if_small(hot)  # at most one row per rows_per_group readings
+    most = hot.agg(F.max("salts__")).first()[0] or 1
+    if most > 1:
+        r = r.join(model.broadcast_if_small(hot), ["g__", "s__"], "left")
+        spot = F.when(F.col("i__").isNotNull(), F.xxhash64("i__")).otherwise(F.monotonically_increasing_id())
+        salt = F.pmod(spot, F.coalesce("salts__", F.lit(1)))
+        r = r.select("g__", "s__", salt.alias("salt__"), "i__", "v__")
+    else:
+        r = r.withColumn("salt__", F.lit(0).cast("long"))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["i__"]
@@ -146,21 +163,25 @@ def summarise(readings: DataFrame, group: str, timestamp: str, value: str, ident
             known = ids.is_valid().to_numpy()
             at = np.unique(ids.filter(ids.is_valid()).to_numpy(), return_index=True)[1]
             kept = np.concatenate([v[known][np.sort(at)], v[~known]])
-        day = key[1].as_py() * slice_seconds // 86_400
-        return _table([("g", pa.string(), key[0].as_py()), ("day", pa.int64(), day), ("part", pa.int64(), key[1].as_py())], Summary(k, fan_in).add(kept))
-
-    parts = r.groupBy("g__", "s__").applyInArrow(first, f"g string, day long, part long, {SUMMARY}")
-    days = _merged(parts, ["g", "day"], "part", k, fan_in)
+        g, part, salt = (x.as_py() for x in key)
+        day = part * slice_seconds // 86_400
+        return _table([("g", pa.string(), g), ("day", pa.int64(), day), ("part", pa.int64(), part), ("salt", pa.int64(), salt)], Summary(k, fan_in).add(kept))
+
+    parts = r.groupBy("g__", "s__", "salt__").applyInArrow(first, f"g string, day long, part long, salt long, {SUMMARY}")
+    while most > 32:
+        parts = parts.withColumnRenamed("salt", "low").withColumn("salt", model.floor_div(F.col("low"), 32))
+        parts, most = _merged(parts, ["g", "day", "part", "salt"], ["low"], k, fan_in), math.ceil(most / 32)
+    days = _merged(parts, ["g", "day"], ["part", "salt"], k, fan_in)
     return days.withColumnRenamed("g", group)
 
 
-def _merged(parts: DataFrame, keys: list[str], order: str, k: int, fan_in: int) -> DataFrame:
+def _merged(parts: DataFrame, keys: list[str], order: list[str], k: int, fan_in: int) -> DataFrame:
     types = {"string": pa.string(), "bigint": pa.int64()}
     kinds = dict(parts.dtypes)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         s = Summary(k, fan_in)
-        for row in _rows(table.sort_by(order)):
+        for row in _rows(table.sort_by([(c, "ascending") for c in order])):
             s.merge(Summary.of(row, k, fan_in))
         return _table([(c, types[kinds[c]], v.as_py()) for c, v in zip(keys, key)], s)
 
@@ -170,9 +191,10 @@ def _merged(parts: DataFrame, keys: list[str], order: str, k: int, fan_in: int)
 
 def over_days(days: DataFrame, group: str, k: int = 512, fan_in: int = 16, days_at_once: int = 32) -> DataFrame:
     """``(group, <summary>)`` over all days, from the days' summaries alone; merged in blocks of days first."""
+    model.utc(days.sparkSession)
     parts = days.select(F.col(group).alias("g"), model.floor_div(F.col("day"), days_at_once).alias("block"), "day", *[f.split()[0] for f in SUMMARY.split(", ")])
-    blocks = _merged(parts, ["g", "block"], "day", k, fan_in)
-    return _merged(blocks, ["g"], "block", k, fan_in).withColumnRenamed("g", group)
+    blocks = _merged(parts, ["g", "block"], ["day"], k, fan_in)
+    return _merged(blocks, ["g"], ["block"], k, fan_in).withColumnRenamed("g", group)
 
 
 def percentiles(summaries: DataFrame, keys: list[str], qs: list[float], k: int = 512, fan_in: int = 16) -> DataFrame:
@@ -180,6 +202,7 @@ def percentiles(summaries: DataFrame, keys: list[str], qs: list[float], k: int =
 
     Each value's true rank differs from ceil(q n) by at most ``rank_error * n``; ``least`` and ``most`` are exact.
     """
+    model.utc(summaries.sparkSession)
     names = [f"p{100 * q:g}".replace(".", "_") for q in qs]
     kinds = dict(summaries.dtypes)
 
