@@ -70,6 +70,23 @@ def test_states_against_brute_force(spark, entries, readings, broadcast_rows):
         assert got[k] == want, (k, name, s)
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_interval_join(spark, readings, broadcast_rows):
+    rng = random.Random(9)
+    events = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(0, 400_000, 777)]), 1.0) for k in range(300)]
+    spans = [(rng.choice(["a", "b", "c", None]), a, a + rng.choice([0, -5, 10_000, 300_000]), i) for i, a in enumerate(rng.randrange(-100_000, 400_000) for _ in range(60))] + [("a", None, 5, 100), ("a", 5, None, 101)]
+    at = lambda s: None if s is None else D(2021, 1, 5) + dt.timedelta(seconds=s)
+    intervals = spark.createDataFrame([(n, at(a), at(b), i) for n, a, b, i in spans], "endpoint_name string, a timestamp_ntz, b timestamp_ntz, reading_id int")
+    df = readings([(k, e, None if s is None else float(s), v) for k, e, s, v in events])
+    out = validity.join_intervals(df, intervals, "endpoint_name", "timestamp", "a", "b", "left", broadcast_rows=broadcast_rows)
+    assert {"endpoint_name_interval", "reading_id_interval"} <= set(out.columns)
+    got = sorted((r["reading_id"], r["reading_id_interval"]) for r in out.where("reading_id_interval is not null").collect())
+    want = sorted((k, i) for k, e, s, _ in events for n, a, b, i in spans if e is not None and e == n and None not in (s, a, b) and a <= s < b)
+    assert got == want
+    assert out.select("reading_id").distinct().count() == 300
+    assert validity.join_intervals(df.where("false"), intervals, "endpoint_name", "timestamp", "a", "b", broadcast_rows=broadcast_rows).count() == 0
+
+
 def test_states_of_empty_tables(spark, entries, readings):
     states = validity.current_states(validity.bound_entries(entries([])))
     assert states.count() == 0

@@ -102,9 +102,38 @@ def test_large_median_is_exact(spark):
         assert got[n] == x[len(x) // 2]
 
 
-def test_sampling_interval_is_the_lower_median(spark):
+@pytest.mark.parametrize("rows_per_task", [1_000, 0])
+def test_sampling_interval_is_the_lower_median(spark, rows_per_task):
     df = long(spark, [("a", 0, 1.0), ("a", 1, 1.0), ("a", 5, 1.0), ("b", 0, 1.0)])
-    assert {r["name"]: r["dt"] for r in S.sampling_interval(df).collect()} == {"a": 1.0, "b": None}
+    assert {r["name"]: r["dt"] for r in S.sampling_interval(df, rows_per_task).collect()} == {"a": 1.0, "b": None}
+    assert S.sampling_interval(df.where("false"), rows_per_task).count() == 0
+
+
+def test_hot_series_go_through_slices(spark):
+    """One series holds most points: steps by slices and medians by brackets equal those of the whole series."""
+    rng = random.Random(6)
+    rows = [("hot", rng.uniform(0, 100_000), rng.choice([rng.gauss(0, 1), 2.0, None])) for _ in range(6000)]
+    rows += [("cold", 50.0 * k, float(k)) for k in range(40)] + [("one", 7.0, 1.0), ("none", 7.0, None)]
+    df = long(spark, rows).persist()
+    whole, parts = S.sampling_interval(df), S.sampling_interval(df, 100, slice_seconds=600)
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+    assert S.steps(df, 600).count() == S.steps(df, None).count() == 5999 + 39
+    names = ["median", "count", "max"]
+    a, b = S.reduce(df, names), S.reduce(df, names, rows_per_task=100)
+    assert a.columns == b.columns and sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert "percentile_disc" not in b._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bounds_of_a_grid(spark):
+    df = series(spark, [(100.0, 1.0), (190.0, 2.0)])
+    assert resample.Grid.of_series(df, 30) == resample.Grid.by_time(100, 190, 30)
+    assert resample.Grid.of_series(df, 30, 0.0, 250.0) == resample.Grid.by_time(100, 250, 30)
+    assert resample.Grid.of_series(df, 30, 130.0, 120.0, 5.0) == resample.Grid.by_time(130, 190, 30, 5.0)
+    assert resample.Grid.of_series(df, 30, 10.0, 70.0) == resample.Grid.by_time(10, 70, 30)
+    assert resample.Grid.of_series(df.where("false"), 30).n == 0
+    spans = {"a": (100.0, 200.0), "b": (50.0, 150.0), "c": (60.0, 300.0)}
+    assert resample.align(df, "auto", spans) == resample.Grid.by_time(60, 200, 90.0)
+    assert resample.align(df, "max", spans) == resample.Grid.by_time(100, 150, 90.0)
 
 
 def test_grid_edges():

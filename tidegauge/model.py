@@ -6,6 +6,7 @@ import math
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,10 +116,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests), one below the warehouse folder is set."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, one below the warehouse folder if the session runs on
+    this machine alone (tests), else an error: a cluster's executors don't share a machine's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a written table below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

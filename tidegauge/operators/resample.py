@@ -35,6 +35,17 @@ class Grid:
         n = max(0, math.ceil((stop - first - step / 2) / step))
         return cls(first, step, n)
 
+    @classmethod
+    def of_series(cls, df: DataFrame, step: float, start: float = math.nan, stop: float = math.nan, offset: float = 0.0) -> Grid:
+        """Grid over given bounds; a start that is NaN or not positive is that of the first point, a stop that is NaN or not
+        above the start that of the last. Without a point and without bounds there is no bucket."""
+        own = math.isnan(start) or start <= 0 or math.isnan(stop) or stop <= start
+        a, b = df.agg(F.min("t"), F.max("t")).first() if own else (start, stop)
+        if a is None:
+            return cls(0.0, step, 0)
+        start = a if math.isnan(start) or start <= 0 else start
+        return cls.by_time(start, b if math.isnan(stop) or stop <= start else stop, step, offset)
+
     def with_offset(self, offset: float, stop: float) -> Grid:
         first = self.first + offset
         return Grid(first, self.step, max(0, math.ceil((stop - first - self.step / 2) / self.step)))
@@ -46,23 +57,22 @@ def align(df: DataFrame, how: str, spans: dict[str, tuple[float, float]] | None
     ``auto``: the upper median of their sampling intervals (1 if there is none), starts and stops; ``min``: the shortest
     interval (10) over the union of spans; ``max``: the longest (10) over their intersection. A span is that of the points,
     the last one excluded as an end, unless ``spans`` gives it. Without a series there is no bucket; repeated times that make
-    the interval 0 are an error. One row per series comes to the driver, not the points.
+    the interval 0 are an error. Only the three resulting numbers come to the driver.
     """
-    steps = {r["name"]: r["dt"] for r in S.sampling_interval(df).collect()}
-    if spans is None:
-        spans = {r["name"]: (r["a"], r["b"]) for r in df.groupBy("name").agg(F.min("t").alias("a"), F.max("t").alias("b")).collect()}
-    dt = sorted(v for v in steps.values() if v is not None)
-    starts, stops = sorted(a for a, _ in spans.values()), sorted(b for _, b in spans.values())
     if how not in ("auto", "min", "max"):
         raise ValueError(f"no alignment {how}")
-    if not starts:
+    own = S.sampling_interval(df)
+    if spans is None:
+        own = own.join(df.groupBy("name").agg(F.min("t").alias("a"), F.max("t").alias("b")), "name")
+    else:
+        given = df.sparkSession.createDataFrame([(n, float(a), float(b)) for n, (a, b) in spans.items()], "name string, a double, b double")
+        own = given.join(own, "name", "left")
+    upper = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c} desc)")
+    chosen = {"auto": (upper("dt"), upper("a"), upper("b")), "min": (F.min("dt"), F.min("a"), F.max("b")), "max": (F.max("dt"), F.max("a"), F.min("b"))}[how]
+    dt, a, b = own.agg(*chosen).first()
+    if a is None:
         return Grid(0.0, 1.0, 0)
-    if how == "auto":
-        pick = lambda v: v[len(v) // 2]
-        return Grid.by_time(pick(starts), pick(stops), pick(dt) if dt else 1.0)
-    if how == "min":
-        return Grid.by_time(starts[0], stops[-1], dt[0] if dt else 10.0)
-    return Grid.by_time(starts[-1], stops[0], dt[-1] if dt else 10.0)
+    return Grid.by_time(a, b, dt if dt is not None else 1.0 if how == "auto" else 10.0)
 
 
 def resample(df: DataFrame, grid: Grid, reducer: str, filler: str = "none", value: float | None = None, names: list[str] | None = None) -> DataFrame:

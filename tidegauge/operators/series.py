@@ -53,7 +53,9 @@ def keepna(df: DataFrame) -> DataFrame:
 def slice_points(df: DataFrame, start: int, stop: int) -> DataFrame:
     """Points ``start`` up to, not including, ``stop`` of each series, counted from 0; bounds beyond the series are clipped."""
     w = W.partitionBy("name").orderBy("t", "i", "x")
-    return df.withColumn("n__", F.row_number().over(w) - 1).where((F.col("n__") >= start) & (F.col("n__") < stop)).drop("n__")
+    # the bound on the plain row number lets the window stop early, on either side of its exchange
+    first = df.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= max(0, stop))
+    return first.where(F.col("n__") > start).drop("n__")
 
 
 def between(df: DataFrame, start: float, stop: float) -> DataFrame:
@@ -115,41 +117,73 @@ def reducer(name: str, centre: Column | None = None) -> Column:
     return REDUCERS[name](centre)
 
 
-def reduce(df: DataFrame, names: list[str], span: tuple[float, float] | None = None, strict: bool = False) -> DataFrame:
+def reduce(df: DataFrame, names: list[str], span: tuple[float, float] | None = None, strict: bool = False, rows_per_task: int = model.ROWS_PER_TASK) -> DataFrame:
     """One row per series with a column per reducer.
 
-    ``strict`` makes min and max NULL if a series begins with a missing value.
+    ``strict`` makes min and max NULL if a series begins with a missing value. The median of series of more than
+    ``rows_per_task`` points comes from :func:`large_median`, so that no task holds a series' values.
     """
     centre = None if span is None else F.lit((span[0] + span[1]) / 2)
     columns = []
+    apart = "median" in names and longest(df) > rows_per_task
     for n in names:
         c = reducer(n, centre)
         if strict and n in ("min", "max"):
             c = F.when(F.min_by(F.col("x").isNotNull(), F.struct("t", "i")), c)
-        columns.append(c.alias(n))
-    return df.groupBy("name").agg(*columns)
+        columns.append(F.count("*").alias("median") if apart and n == "median" else c.alias(n))
+    out = df.groupBy("name").agg(*columns)
+    return out.drop("median").join(large_median(df), "name", "left").select("name", *names) if apart else out
 
 
-def large_median(df: DataFrame, accuracy: int = 1_000) -> DataFrame:
-    """``(name, median)``: the exact upper median of series of any length.
+def longest(df: DataFrame) -> int:
+    """Points of the longest series."""
+    return df.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
-    No task holds a series: an approximate summary brackets the median, values below the bracket are counted, and only the
-    values inside, about 4 / ``accuracy`` of a series, are ranked.
+
+def ranked(df: DataFrame, rank: Column, x: str = "x", accuracy: int = 10_000) -> DataFrame:
+    """``(name, x)``: of each series the value at ``rank`` (from 0, of ``n``, the number of values) among its sorted values.
+
+    Exact for series of any length: an approximate summary brackets the middle, values below the bracket are only counted,
+    and the distinct values inside, about 4 / ``accuracy`` of a series, are ranked. For ranks around the middle.
     """
-    d = dropna(df).select("name", "x")
+    d = df.where(F.col(x).isNotNull()).select("name", F.col(x).alias("v__"))
     low, high = max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)
-    bracket = d.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("x", [low, high], accuracy).alias("p"))
-    bracket = bracket.select("name", F.floor(F.col("n") / 2).alias("want"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
-    b = d.join(model.broadcast_if_small(bracket), "name")
-    below = b.groupBy("name").agg(F.count_if(F.col("x") < F.col("lo")).alias("below"))
-    inside = b.where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).groupBy("name", "want", "x").agg(F.count("*").alias("c"))
-    w = W.partitionBy("name").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = inside.join(model.broadcast_if_small(below), "name").withColumn("upto", F.col("below") + F.sum("c").over(w))
-    return upto.where(F.col("upto") > F.col("want")).groupBy("name").agg(F.min("x").alias("median"))
-
-
-def sampling_interval(df: DataFrame) -> DataFrame:
-    """``(name, dt)``: lower median of the steps between successive points; NULL for fewer than two."""
-    w = W.partitionBy("name").orderBy("t", "i")
-    steps = df.withColumn("d", F.col("t") - F.lag("t").over(w))
-    return steps.groupBy("name").agg(F.expr("percentile_disc(0.5) within group (order by d)").alias("dt"))
+    bracket = d.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("v__", [low, high], accuracy).alias("p"))
+    bracket = bracket.select("name", rank.cast("long").alias("want"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    b = d.join(model.broadcast_if_small(bracket), "name").where(F.col("v__") <= F.col("hi"))
+    counts = b.groupBy("name", "want", F.when(F.col("v__") >= F.col("lo"), F.col("v__")).alias("v__")).agg(F.count("*").alias("c"))
+    w = W.partitionBy("name").orderBy(F.asc_nulls_first("v__")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = counts.withColumn("upto", F.sum("c").over(w)).where(F.col("upto") > F.col("want"))
+    return upto.groupBy("name").agg(F.min("v__").alias(x))
+
+
+def large_median(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """``(name, median)``: the exact upper median of series of any length that have a value."""
+    return ranked(df, F.floor(F.col("n") / 2), "x", accuracy).withColumnRenamed("x", "median")
+
+
+def steps(df: DataFrame, slice_seconds: int | None = 86_400) -> DataFrame:
+    """``(name, d)``: the time from each point to the next.
+
+    With ``slice_seconds`` no task holds a series: windows reach over one slice of a series, and the first point of a slice
+    follows the last one of the slice before, of which there is one row each.
+    """
+    if slice_seconds is None:
+        return df.select("name", (F.col("t") - F.lag("t").over(W.partitionBy("name").orderBy("t", "i"))).alias("d")).where("d is not null")
+    p = df.select("name", "i", "t", F.floor(F.col("t") / slice_seconds).alias("k"))
+    inner = p.select("name", (F.col("t") - F.lag("t").over(W.partitionBy("name", "k").orderBy("t", "i"))).alias("d"))
+    ends = p.groupBy("name", "k").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    across = ends.select("name", (F.col("a") - F.lag("b").over(W.partitionBy("name").orderBy("k"))).alias("d"))
+    return inner.union(across).where("d is not null")
+
+
+def sampling_interval(df: DataFrame, rows_per_task: int = model.ROWS_PER_TASK, slice_seconds: int = 86_400) -> DataFrame:
+    """``(name, dt)``: lower median of the steps between successive points; NULL for fewer than two.
+
+    Series of more than ``rows_per_task`` points are cut into slices of time and their steps ranked by :func:`ranked`.
+    """
+    if longest(df) <= rows_per_task:
+        w = W.partitionBy("name").orderBy("t", "i")
+        return df.withColumn("d", F.col("t") - F.lag("t").over(w)).groupBy("name").agg(F.expr("percentile_disc(0.5) within group (order by d)").alias("dt"))
+    found = ranked(steps(df, slice_seconds), F.floor((F.col("n") - 1) / 2), "d").withColumnRenamed("d", "dt")
+    return df.select("name").distinct().join(found, "name", "left")

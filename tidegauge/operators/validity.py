@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidegauge import model
 from tidegauge.functions import expr
@@ -153,6 +154,7 @@ def current_states(entries: DataFrame, version: int = 1) -> DataFrame:
     entries in force the one with the latest ``entered_at`` counts, then the one with the largest ``entry_id``.
     One group holds the entries of one endpoint.
     """
+    model.utc(entries.sparkSession)
     return entries.groupBy("endpoint_name").applyInPandas(_states(version), STATE_SCHEMA)
 
 
@@ -193,11 +195,13 @@ def as_known_at(
 
     Events are hash-partitioned on (endpoint, time slice), so that a hot endpoint spreads over many buckets, and each
     bucket runs one DuckDB ``ASOF LEFT JOIN`` against the states. The states travel to the buckets as a broadcast value
-    if they are at most ``broadcast_rows``; otherwise both sides are cogrouped on salted buckets of endpoints.
+    if they are at most ``broadcast_rows``; otherwise both sides are cogrouped, and a bucket gets the states that begin in
+    its slices and the one in force when each slice begins.
     All columns of the events are kept; those of the same name as an attribute get ``_event`` behind it, as often as needed.
     Events with a NULL endpoint or time, or before the first state, get NULLs.
     """
     spark = events.sparkSession
+    model.utc(spark)
     for name in ("entry_id", "default_calibration", "label"):
         if (new := name) in events.columns:
             while new in events.columns:
@@ -240,9 +244,53 @@ def as_known_at(
         con.close()
         return out
 
-    salts = max(1, n // 8)
-    at = F.pmod(F.hash("endpoint__"), F.lit(8)) * salts
-    left = keyed.withColumn("bucket__", at + F.pmod(F.hash(slice_of, "us__"), F.lit(salts)))
-    home = F.pmod(F.hash("endpoint_name"), F.lit(8)) * salts
-    right = states.withColumn("bucket__", F.explode(F.sequence(home, home + salts - 1)))
+    bucket_of = lambda e, k: F.pmod(F.hash(e, k), F.lit(n))
+    left = keyed.withColumn("bucket__", bucket_of("endpoint__", slice_of))
+    right = _sliced(states, keyed.select(F.col("endpoint__").alias("endpoint_name"), slice_of.alias("k__")), slice_seconds * 1_000_000)
+    right = right.withColumn("bucket__", bucket_of("endpoint_name", F.col("k__"))).drop("k__")
     return left.groupBy("bucket__").cogroup(right.groupBy("bucket__")).applyInArrow(both, out_schema)
+
+
+def _sliced(states: DataFrame, cells: DataFrame, width: int) -> DataFrame:
+    """The states with the time slice ``k__`` they begin in, and for each (endpoint, slice) of ``cells`` the state in force when it begins.
+
+    The window that carries states on holds one row per state and slice of an endpoint, no events.
+    """
+    own = states.withColumn("k__", F.floor(F.col("from_us") / width))
+    state = F.struct(*states.columns)
+    marks = cells.where("endpoint_name is not null and k__ is not null").distinct()
+    marks = marks.select("endpoint_name", (F.col("k__") * width).alias("at__"), "k__", F.lit(None).cast(states.schema).alias("s__"))
+    marks = marks.union(states.select("endpoint_name", "from_us", F.lit(None).cast("long"), state))
+    w = W.partitionBy("endpoint_name").orderBy("at__").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = marks.withColumn("s__", F.last("s__", ignorenulls=True).over(w)).where("k__ is not null and s__ is not null")
+    return carried.select("s__.*", "k__").union(own)
+
+
+def join_intervals(events: DataFrame, intervals: DataFrame, on: str, at: str, start: str, stop: str, how: str = "inner", slice_seconds: int = 86_400, broadcast_rows: int = model.BROADCAST_ROWS) -> DataFrame:
+    """Events with the columns of every interval of the same ``on`` with ``start`` <= ``at`` < ``stop`` (timestamps without zone).
+
+    ``how`` is ``inner`` or ``left``. Interval columns whose names the events have get the suffix ``_interval``. NULL keys,
+    times and bounds match nothing. At most ``broadcast_rows`` intervals are broadcast; more of them are cut at slices of
+    time, within the events' whole span, and joined by (key, slice), so that neither a hot key nor a key with many
+    intervals makes a task compare all with all.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"no interval join {how}")
+    spark = events.sparkSession
+    model.utc(spark)
+    names = {c: f"{c}_interval" if c in events.columns else c for c in intervals.columns}
+    i = intervals.where(F.col(on).isNotNull() & (F.col(start) < F.col(stop)))
+    i = i.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(on).alias("on__"), model.micros(start).alias("a__"), model.micros(stop).alias("b__"))
+    e = events.withColumn("at__", model.micros(at))
+    inside = (e[on] == F.col("on__")) & (F.col("at__") >= F.col("a__")) & (F.col("at__") < F.col("b__"))
+    wanted = [*(F.col(c) for c in events.columns), *(F.col(n) for n in names.values())]
+    small = model.broadcast_if_small(i, broadcast_rows)
+    if small is not i:
+        return e.join(small, inside, how).select(*wanted)
+    width = slice_seconds * 1_000_000
+    span = e.agg(F.min("at__"), F.max("at__")).first()
+    lo, hi = (0, 0) if span[0] is None else (span[0] // width, span[1] // width)
+    first, last = F.greatest(model.floor_div(F.col("a__"), width), F.lit(lo)), F.least(model.floor_div(F.col("b__") - 1, width), F.lit(hi))
+    i = i.where(first <= last).withColumn("k__", F.explode(F.sequence(first, last)))
+    e = e.withColumn("ek__", model.floor_div(F.col("at__"), width))
+    return e.join(i, (F.col("ek__") == F.col("k__")) & inside, how).select(*wanted)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 import re
 import warnings
 from collections.abc import Iterable
@@ -171,8 +170,7 @@ def indexed(name: str, size: int, j: int) -> str:
     """Name of an array's element: its index, padded to the digits that the largest needs, follows."""
     if size < 0:
         return name
-    digits = int(math.log10(size - 0.5) + 1) if size > 1 else 1
-    return f"{name}{j:0{digits}d}"
+    return f"{name}{str(j).rjust(len(str(max(size, 1) - 1)), '0')}"
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge import model
+
 
 def date_text(t: Column | str) -> Column:
     """Seconds since 1970 as ``YYYY-MM-DDTHH:MM:SS`` (UTC)."""
@@ -16,11 +18,12 @@ def date_text(t: Column | str) -> Column:
 
 
 def series_json(df: DataFrame, start: float, stop: float) -> DataFrame:
-    """``(name, json)``: start, length, times from the start to a tenth of a second and values; missing values are null.
+    """``(name, json)``: start, length, times from the start to a tenth of a second and values to six significant digits;
+    missing values are null.
 
     The points of one series meet in one row: a rendering for series that a person or a plot reads.
     """
-    points = F.transform(F.array_sort(F.collect_list(F.struct("t", "i", "x"))), lambda p: F.struct(F.round(p["t"] - start, 1).alias("t"), F.round(p["x"], 12).alias("x")))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("t", "i", "x"))), lambda p: F.struct(F.round(p["t"] - start, 1).alias("t"), model.significant(p["x"], 6).alias("x")))
     rows = df.groupBy("name").agg(points.alias("p"))
     body = F.struct(F.lit(start).alias("start"), F.lit(stop - start).alias("length"), F.col("p.t").alias("t"), F.col("p.x").alias("x"))
     return rows.select("name", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
