@@ -51,6 +51,9 @@ def test_match_nearest(spark, readings, at, shard_seconds):
         near = [] if q is None else [(abs(t - q), t, i) for i, e, t, _ in rows if e == r["endpoint_name"] and e and t is not None and i is not None and abs(t - q) <= 5]
         assert r["reading_id"] == (min(near)[2] if near else None), r
         assert r["delta_us"] in (1.5, 1.0)
+    for words in (1, 64):  # a bitmap that fills up lets more through and loses nothing
+        full = nearest.match_nearest(left, readings(rows), ("endpoint_name", "checked"), ("endpoint_name", "timestamp"), "reading_id", 5_000_000, shard_seconds, filter_words=words)
+        assert sorted(full.collect(), key=str) == sorted(out, key=str)
     empty = readings([])
     assert nearest.match_nearest(left, empty, ("endpoint_name", "checked"), ("endpoint_name", "timestamp"), "reading_id", 5_000_000).where("reading_id is null").count() == len(checks)
     assert nearest.match_nearest(left.where("false"), readings(rows), ("endpoint_name", "checked"), ("endpoint_name", "timestamp"), "reading_id", 5_000_000).count() == 0
@@ -108,6 +111,12 @@ def test_percentiles_of_days(spark, readings):
     rows += rows[:50] + [(9001, "a", 1.0, None), (9002, "a", 2.0, float("nan")), (9003, None, 3.0, 1.0), (9004, "a", None, 1.0), (9005, "b", 4.0, 3.0), (None, "b", 5.0, 5.0), (None, "b", 5.0, 5.0)]
     df = readings(rows).withColumns({"n": F.lit(1), "g": F.lit("x"), "day": F.lit(3)})
     days = percentiles.summarise(df, "endpoint_name", "timestamp", "value_raw", "reading_id", k=64, fan_in=8)
+    # hot slices are salted, in one and in several levels of merging
+    for bound in (500, 20):
+        salted = percentiles.summarise(df, "endpoint_name", "timestamp", "value_raw", "reading_id", k=64, fan_in=8, rows_per_group=bound)
+        both = [{(r["endpoint_name"], r["day"]): r for r in percentiles.percentiles(x, ["endpoint_name", "day"], [0.5], 64, 8).collect()} for x in (days, salted)]
+        assert {k: (r["n"], r["least"], r["most"]) for k, r in both[0].items()} == {k: (r["n"], r["least"], r["most"]) for k, r in both[1].items()}
+        assert max(r["rank_error"] for r in both[1].values()) < 0.1
     daily = percentiles.percentiles(days, ["endpoint_name", "day"], [0.5], 64, 8).collect()
     assert sum(r["n"] for r in daily if r["endpoint_name"] == "a") == 6000
     overall = {r["endpoint_name"]: r for r in percentiles.percentiles(percentiles.over_days(days, "endpoint_name", 64, 8, 1), ["endpoint_name"], [0.1, 0.5, 0.999], 64, 8).collect()}

@@ -2,7 +2,8 @@
 
 Each (entity, time shard) of the right side gets a learned index: a piecewise-linear model of position over time with a
 proven largest error. A query's position is predicted, and a binary search inside the error bound finds the exact
-neighbours. Readings within the tolerance of a shard's edge belong to the next shard too.
+neighbours. Readings within the tolerance of a shard's edge belong to the next shard too. Before, a bitmap of bounded size
+keeps readings that are near no query from being shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tidegauge import model
 
+#: Words of the bitmap that stand in one row, and the logarithm of their number.
+_ROW_WORDS, _ROW_SHIFT = 64, 6
+
 
 class LearnedIndex:
     """Position of int64 keys (ascending, unique) by line segments whose error is at most ``max_error`` positions."""
@@ -89,6 +93,27 @@ def _matcher(tolerance_us: int, max_error: int, left_schema: pa.Schema, right_na
     return run
 
 
+def _near_some(right: DataFrame, left: DataFrame, tolerance_us: int, words: int) -> DataFrame:
+    """The right rows that may be within the tolerance of a left row: all that are, and others by chance.
+
+    Time is cut into spans of twice the tolerance. A left row marks the spans that its tolerance touches.
+    """
+    span = max(2 * tolerance_us, 1_000_000)
+    hashed = lambda at: F.xxhash64("k__", at)
+    word_of, bit_of = (lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(words))), (lambda h: F.pmod(h, F.lit(64)).cast("int"))
+    row_of, place_of = (lambda w: F.shiftright(w, _ROW_SHIFT)), (lambda w: w.bitwiseAND(F.lit(_ROW_WORDS - 1)).cast("int"))
+    touched = F.explode(F.array_distinct(F.array(*(model.floor_div(F.col("q__") + d, span) for d in (-tolerance_us, tolerance_us)))))
+    marks = left.select("k__", touched.alias("at__")).select(hashed("at__").alias("h__"))
+    marks = marks.select(word_of(F.col("h__")).alias("word__"), F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(F.col("h__"))).alias("bits__"))
+    marks = marks.groupBy("word__").agg(F.bit_or("bits__").alias("bits__"))
+    marks = marks.groupBy(row_of(F.col("word__")).alias("row__")).agg(F.map_from_entries(F.collect_list(F.struct(place_of(F.col("word__")).alias("k"), "bits__"))).alias("m__"))
+    marks = marks.select("row__", F.transform(F.sequence(F.lit(0), F.lit(_ROW_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m__", i), F.lit(0).cast("long"))).alias("bits__"))
+    r = right.withColumn("h__", hashed(model.floor_div(F.col("t__"), span))).withColumn("word__", word_of(F.col("h__")))
+    r = r.withColumn("row__", row_of(F.col("word__"))).join(F.broadcast(marks), "row__")
+    r = r.where(F.getbit(F.get("bits__", place_of(F.col("word__"))), bit_of(F.col("h__"))) == 1)
+    return r.drop("h__", "word__", "row__", "bits__")
+
+
 def match_nearest(
     left: DataFrame,
     right: DataFrame,
@@ -98,6 +123,7 @@ def match_nearest(
     tolerance_us: int,
     shard_seconds: int = 43_200,
     max_error: int = 32,
+    filter_words: int = 2**19,
 ) -> DataFrame:
     """Every left row with the columns of the nearest right row of the same entity and ``delta_us`` (right minus left;
     ``delta_us_right`` if a column is so called).
@@ -107,9 +133,14 @@ def match_nearest(
     without partner, or with a NULL entity or time, comes back once with NULLs; right rows with a NULL entity, time or
     id take no part; repeated left rows stay repeated. Right columns whose names the left has get the suffix ``_right``.
 
-    Groups are (entity, time shard): a hot entity spreads over its shards, and a shard holds the readings of
-    ``shard_seconds`` at most. ``shard_seconds`` should be far above the tolerance.
+    Right rows that no left row can be near to don't travel: a bitmap over the left rows' (entity, span of time) keys, hashed
+    to ``filter_words`` words of 64 bits, which bounds its broadcast whatever the number of left rows, lets through all
+    rows near some left row and, as the bitmap fills up, more and more others.
+
+    Groups are (entity, time shard): a hot entity spreads over its shards, and a shard holds the rows of
+    ``shard_seconds`` that are near a left row at most. ``shard_seconds`` should be far above the tolerance.
     """
+    model.utc(left.sparkSession)
     width = shard_seconds * 1_000_000
     left_names, right_names = left.columns, right.columns
     out_right = [f"{c}_right" if c in left_names else c for c in right_names]
@@ -119,6 +150,7 @@ def match_nearest(
     whole = F.col("k__").isNotNull() & F.col("q__").isNotNull()
     r = right.where(F.col(right_on[0]).isNotNull() & F.col(right_on[1]).isNotNull() & F.col(right_id).isNotNull())
     r = r.withColumns({"k__": F.col(right_on[0]), "t__": t, "rank__": F.col(right_id)})
+    r = _near_some(r, keyed.where(whole), tolerance_us, filter_words)
     shards = [model.floor_div(F.col("t__") + d, width) for d in (-tolerance_us, 0, tolerance_us)]
     r = r.withColumn("shard__", F.explode(F.array_distinct(F.array(*shards))))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema]
