@@ -7,6 +7,7 @@ words, so that each distinct word is scored once per task.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidegauge import model
 
@@ -158,16 +160,17 @@ def fit(samples: list[tuple[str, str]], lines: list[tuple[str, str]] = [], epoch
     languages = sorted({lang for lang, _ in samples})
     lines = [(lang, text) for lang, text in lines if lang in languages and text and text.strip()]
 
-    def pieces(some: list[tuple[str, str]]) -> list[tuple[int, Counter]]:
+    def pieces(some: list[tuple[str, str]]) -> list[tuple[int, int, Counter]]:
+        """(number of the text, language, bag) of each text's variants and sentences."""
         out = []
-        for lang, text in some:
+        for i, (lang, text) in enumerate(some):
             y = languages.index(lang)
             for v in variants(text, len(out)):
-                out.append((y, _bag(v)))
+                out.append((i, y, _bag(v)))
             sentences = _sentences(text)
             if len(sentences) > 1:
-                out += [(y, _bag(text[a:b])) for a, b, _ in sentences]
-        return [(y, b) for y, b in out if b]
+                out += [(i, y, _bag(text[a:b])) for a, b, _ in sentences]
+        return [(i, y, b) for i, y, b in out if b]
 
     def learn(bags: list[tuple[int, Counter]]) -> LanguageModel:
         df = Counter(g for _, b in bags for g in b)
@@ -175,25 +178,27 @@ def fit(samples: list[tuple[str, str]], lines: list[tuple[str, str]] = [], epoch
         idf = np.array([np.log((1 + len(bags)) / (1 + df[g])) + 1 for g in vocabulary])
         rows = []
         for y, b in bags:
-            at = np.array([vocabulary[g] for g in b if g in vocabulary], dtype=np.int64)
-            x = np.array([c for g, c in b.items() if g in vocabulary], dtype=np.float64)
+            known = [(j, c) for g, c in b.items() if (j := vocabulary.get(g)) is not None]
+            at = np.array([j for j, _ in known], dtype=np.int64)
+            x = np.array([c for _, c in known], dtype=np.float64)
             rows.append((at, x * idf[at] / np.sqrt(sum(b.values())), y))
         w, bias = _ftrl(rows, len(vocabulary), len(languages), epochs, alpha, l1, l2, seed)
         used = np.flatnonzero(np.any(w != 0, axis=1))
         order = list(vocabulary)
         return LanguageModel(languages, {order[j]: i for i, j in enumerate(used)}, (w[used] * idf[used, None]).astype(np.float32), bias)
 
-    kept = [s for i, s in enumerate(samples) if i % held_out]
-    out = [(lang, s) for i, (lang, text) in enumerate(samples) if i % held_out == 0 for s in _fragments(text)]
+    bags = pieces(samples + lines)
+    aside = {i for i in range(0, len(samples), held_out)}
+    out = [(lang, s) for i, (lang, text) in enumerate(samples) if i in aside for s in _fragments(text)]
     temperature = 1.0
-    if out and len({lang for lang, _ in kept}) == len(languages):
-        trial = learn(pieces(kept + lines))
+    if out and len({lang for i, (lang, _) in enumerate(samples) if i not in aside}) == len(languages):
+        trial = learn([(y, b) for i, y, b in bags if i not in aside])
         logits = np.array([_score(trial, s) for _, s in out])
         truth = np.array([languages.index(lang) for lang, _ in out])
         choices = np.geomspace(0.05, 5.0, 93)
         loss = [-log_softmax(logits / t)[np.arange(len(truth)), truth].mean() for t in choices]
         temperature = float(choices[int(np.argmin(loss))])
-    final = learn(pieces(samples + lines))
+    final = learn([(y, b) for _, y, b in bags])
     final.temperature = temperature
     return final
 
@@ -383,17 +388,31 @@ def repeated_lines(documents: DataFrame, max_documents: int = 4_000, least: int
     return [(r["lang"], r["line"]) for r in best.orderBy(F.desc("n"), "line").limit(max_lines).collect()]
 
 
-def train(lang_sample: DataFrame, documents: DataFrame | None = None, max_samples: int = 20_000) -> LanguageModel:
+_TRAINED: dict[str, LanguageModel] = {}
+
+
+def train(lang_sample: DataFrame, documents: DataFrame | None = None, samples_per_language: int = 2_000) -> LanguageModel:
     """Model of a labelled sample, and of the lines that labelled ``documents`` share (see :func:`repeated_lines`).
 
-    At most ``max_samples`` rows of the sample, those with the smallest ``sample_id``, are learnt from.
+    At most ``samples_per_language`` rows of each language, those whose ids have the smallest hashes, are learnt from. A
+    model is trained once in a Python process for the same rows and lines.
     """
-    rows = lang_sample.where("lang is not null and text is not null").orderBy("sample_id").limit(max_samples).collect()
-    return fit([(r["lang"], r["text"]) for r in rows], repeated_lines(documents) if documents is not None else [])
+    model.utc(lang_sample.sparkSession)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("sample_id"), "sample_id", "text"))
+    rows = lang_sample.where("lang is not null and text is not null").select("sample_id", "lang", "text", rank.alias("rank__")).where(F.col("rank__") <= samples_per_language)
+    rows = sorted(((r["sample_id"] is None, r["sample_id"], r["lang"], r["text"]) for r in rows.collect()), key=lambda r: (r[0], r[1] or 0, r[2], r[3]))
+    samples, lines = [r[2:] for r in rows], repeated_lines(documents) if documents is not None else []
+    key = hashlib.sha256(repr((samples, lines)).encode()).hexdigest()
+    if key not in _TRAINED:
+        while len(_TRAINED) >= 4:
+            _TRAINED.pop(next(iter(_TRAINED)))
+        _TRAINED[key] = fit(samples, lines)
+    return _TRAINED[key]
 
 
 def _apply(documents: DataFrame, m: LanguageModel, rules: Rules, schema: str, rows, label: Column | None = None) -> DataFrame:
     """One pass over the texts; ``rows`` appends a document's rows from its segments. ``label`` goes along as a last column."""
+    model.utc(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(m)
     labelled = label is not None
     parts = [f.split() for f in (schema + (", label string" if labelled else "")).split(", ")]

@@ -33,6 +33,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = tokens.DEFAULT_FILE) ->
             n = [len(tokens.encode(t, tokenizer)) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n, type=pa.int64())], names=["doc_id", "source", "n_tokens"])
 
+    model.utc(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text")
     return model.spread(texts).mapInArrow(run, "doc_id long, source string, n_tokens long")
 
@@ -107,6 +108,7 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
     Only (source, length) counts leave the executors' groups, one group per source for the knapsack; the documents of a
     length are ranked in ``salts`` parts, so that a length that a third of the documents have is no single task.
     """
+    model.utc(counted.sparkSession)
     t = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy(source_key().alias("source"))
     t = t.agg(F.max("target_share").alias("target_share"), F.max_by("max_repeats", "target_share").alias("max_repeats"))
     t = model.broadcast_if_small(t)
