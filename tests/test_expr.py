@@ -97,6 +97,31 @@ def test_list_and_string_columns(spark):
         assert got[i] == (pytest.approx(w) if isinstance(w, float) else w), t
 
 
+COMPLEX = ["2i * 2i", "abs(3 + 4i)", "real((1 + 2i)**2)", "imag((1+2i)**(0.5-1i))", "arg(-(1i))", "real(exp(1i))", "imag(sin(1+1i))", "real(cos(1i)) + 1", "real((3+1i)/(1-2i))", "(1i == 1i) && (1i != 2i)", "abs(0i**2)", "abs(2**1i)"]
+
+
+def test_complex_numbers(spark):
+    for text, row in zip(COMPLEX, spark.range(1).select(*(compile_expression(t, {}).col.alias(f"c{i}") for i, t in enumerate(COMPLEX))).first()):
+        want = evaluate(text)
+        if isinstance(want, complex):
+            assert (row["re"], row["im"]) == pytest.approx((want.real, want.imag)), text
+        else:
+            assert row == pytest.approx(want, abs=1e-12), text
+    assert evaluate("typeof 2i") == "complex" and evaluate("1.5I") == 1.5j
+    with pytest.raises(ExpressionError):
+        evaluate("1i > 2")
+    with pytest.raises(ExpressionError):
+        evaluate("2ix")
+
+
+def test_split_with_defaults(spark):
+    from tidegauge.functions.text import split_by
+
+    df = spark.createDataFrame([("a.b",), (".b",), ("",), (None,), ("a..c.d.",)], "s string")
+    assert [r[0] for r in df.select(split_by(F.col("s"), ".", ["x", "y", "z"])).collect()] == [["a", "b", "z"], ["x", "b", "z"], ["x", "y", "z"], ["x", "y", "z"], ["a", "y", "c", "d"]]
+    assert [r[0] for r in df.select(split_by(F.col("s"), ".")).collect()] == [["a", "b"], [None, "b"], [], [], ["a", None, "c", "d"]]
+
+
 def test_pt100_pieces_join():
     for edge in (8.0, 40.0):
         assert X.pt100(edge - 1e-9) == pytest.approx(X.pt100(edge), abs=0.2)

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import warnings
 
 import pytest
@@ -207,6 +208,101 @@ def test_text_tables(spark, tmp_path):
     assert tables.TextTable("1 2\n3 4\n").columns == ["Column000", "Column001"]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_text_tables_in_blocks(spark, tmp_path, end):
+    """A file cut into many blocks gives the rows, types and segments of the whole text."""
+    rng = random.Random(4)
+    lines = ["# Fields: id x", "# FieldTypes: long", "# note: none", ""]
+    for k in range(400):
+        lines += [f"{k} {rng.uniform(-1, 1):.3f} 'a {k}' {rng.choice(['7', '', 'z'])}".rstrip()] + [""] * rng.choice([0, 0, 0, 1, 3]) + ["# aside"] * rng.choice([0, 0, 1])
+    for name, text in (("a.ktf", end.join(lines) + end), ("b.ktf", end.join(lines)), ("c.csv", end.join(["a,b", *(f"{k},{k / 4}" for k in range(100)), "", "7,"])), ("d.ktf", "n[2]/I:x/D\n1 2 3.5\n\n4 5 6\n"), ("e.ktf", ""), ("f.ktf", "# Fields: a b\n")):
+        p = tmp_path / name
+        p.write_bytes(text.encode())
+        whole = tables.TextTable(text, p.suffix)
+        for size in ("64b", "1000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = tables.read_table(spark, str(p))
+            assert df.columns == [*whole.columns, "segment"] and [f.dataType for f in df.schema][:-1] == whole.types, name
+            got = sorted((tuple(r) for r in df.collect()), key=str)
+            assert got == sorted((tuple([*r, s]) for r, s in zip(whole.rows, whole.segments)), key=str), (name, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("suffix", [".ktf", ".csv"])
+def test_written_tables_come_back(spark, tmp_path, suffix):
+    rows = [(k, k / 7, f"a \"{k}\" \\ #" if k % 3 else "plain", None if k % 5 else k) for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, x double, s string, n long")
+    tables.write_table(df.repartition(3), str(tmp_path / f"out{suffix}"), suffix)
+    back = tables.read_table(spark, str(tmp_path / f"out{suffix}"))
+    got = sorted((int(r["id"]), r["x"], r["s"], None if r["n"] is None else int(r["n"])) for r in back.collect())
+    assert got == [(k, pytest.approx(x, rel=1e-8), s, n) for k, x, s, n in rows]
+
+
+def test_database(spark, tmp_path):
+    """Readings in an embedded database, read by several queries at once."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [(k, "a" if k % 3 else "b", k / 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "reading_id long, endpoint_name string, value_raw double")
+    df = df.withColumn("timestamp", F.expr("timestamp_ntz '2021-01-05 00:00:00' + make_dt_interval(0, 0, 0, reading_id)"))
+    df.write.format("jdbc").options(url=url, dbtable="readings", createTableColumnTypes="endpoint_name varchar(40)").save()
+    for more in ({}, {"partitions": 4}, {"partitions": 3, "span": ("2021-01-05 00:00:50", "2021-01-05 00:01:40")}):
+        s = tables.Source.jdbc(spark, url, "readings", **more)
+        assert s.readings.rdd.getNumPartitions() == more.get("partitions", 1)
+        assert s.names() == ["a", "b"]
+        got = s.range(["a"], START + 10, START + 110)
+        assert sorted(r["x"] for r in got.collect()) == [v for k, n, v in rows if n == "a" and 10 <= k < 110]
+    assert tables.Source.jdbc(spark, url, "(select * from readings where 1 = 0) e", partitions=4).readings.count() == 0
+
+
+def test_schema_probe(spark, tmp_path, readings):
+    readings([(1, "a", 0.0, 1.0)]).write.parquet(str(tmp_path / "numeric_data.parquet"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "endpoint_id int, endpoint_name string").write.parquet(str(tmp_path / "endpoint_id_map.parquet"))
+    found = {(r["table_name"], r["column_name"]) for r in tables.probe(spark, str(tmp_path)).where("names").collect()}
+    assert found == {("numeric_data", "endpoint_name"), ("endpoint_id_map", "endpoint_name")}
+    assert tables.Source.directory(spark, str(tmp_path)).names() == ["a", "b"]
+    with pytest.raises(ValueError):
+        tables.Source.directory(spark, str(tmp_path), "nothing")
+    with pytest.raises(ValueError):
+        tables.Source.directory(spark, str(tmp_path)).names(1)
+
+
+def test_bad_sensors_stay_empty(spark, data):
+    tree = {"sensor_table": {"setup": {"id": {"name": "L"}, "channel": [
+        {"id": {"name": "flow"}, "x-dripline_endpoint": "flow_1"}, {"id": {"name": "lost"}, "default_calibration": "nowhere: nowhere"}, {"id": {"name": "loop"}, "default_calibration": "pool: pool"},
+        {"id": {"name": "pool"}, "default_calibration": "loop: loop"}]}}}
+    app = App(spark, tables.Source.parquet(spark, data[0]), tree=tree)
+    with pytest.warns(UserWarning, match="no values"):
+        got = app.read(["flow", "lost", "loop"], START, START + 10)
+    assert {r["name"] for r in got.collect()} == {"flow"}
+    with pytest.raises(LookupError):
+        app.read(["flow", "lost"], START, START + 10, strict=True)
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_configuration_by_environment(spark, data, monkeypatch):
+    monkeypatch.setenv("TIDEGAUGE_CONFIG_PATH", data[1])
+    assert len(App(spark, variables={"date": 20210105}).table.sensors) == 33
+    monkeypatch.delenv("TIDEGAUGE_CONFIG_PATH")
+    assert not App(spark).table.sensors
+
+
+def test_tree_operations():
+    t = trees.parse_ktf("# a: 1\n# b:\n#   c: x\n")
+    node = trees.append(t, "b/d")
+    node["e"] = 2
+    trees.append(t, "b/d")["e"] = 3
+    assert t["b"]["d"] == [{"e": 2}, {"e": 3}]
+    trees.link(t, "other", node)
+    node["e"] = 4
+    assert t["other"]["e"] == t["b"]["d"][0]["e"] == 4
+    assert trees.unlink(t["b"], node) == 1 and t["b"]["d"] == [{"e": 3}] and t["other"] is node
+    trees.merge(t, {"a": 5, "z": {"y": 1}})
+    assert t["a"] == [1, 5] and t["z"] == {"y": 1}
+    trees.clear(t)
+    assert t == {}
+    assert trees.to_c('say "x"\n\\', "t") == 'static const char t[] =\n    "say \\"x\\"\\n"\n    "\\\\\\n";\n'
+
+
 def test_visit_and_decode(tmp_path):
     from dataclasses import dataclass, field
 

@@ -57,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--json", action="store_true")
     c = sub.add_parser("dump")
     c.add_argument("file")
-    c.add_argument("--to", default="json", choices=["json", "ktf", "yaml", "xml", "plist", "ini", "xpvp", "csv", "table"])
+    c.add_argument("--to", default="json", choices=["json", "ktf", "yaml", "xml", "plist", "ini", "xpvp", "csv", "table", "c"])
     return p
 
 
@@ -71,6 +71,13 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     a = parser().parse_args(argv)
     out = out or sys.stdout
     say = lambda s: print(s, file=out)
+    if a.command == "dump" and a.to == "c":
+        from pathlib import Path
+
+        from tidegauge.sources import trees
+
+        say(trees.to_c(Path(a.file).read_text()).rstrip("\n"))
+        return 0
     if a.command == "dump" and a.to not in ("csv", "table"):
         from tidegauge.sources import trees
 

@@ -91,6 +91,8 @@ class Compiler:
             return Value(F.lit(v), "bool")
         if isinstance(v, int):
             return Value(F.lit(v).cast("long"), "long")
+        if isinstance(v, complex):
+            return Value(F.struct(F.lit(v.real).alias("re"), F.lit(v.imag).alias("im")), "complex")
         return Value(F.lit(v), "double" if isinstance(v, float) else "string")
 
     def _name(self, name: str) -> Value:
@@ -127,6 +129,9 @@ class Compiler:
             if op == "~":
                 return Value(F.bitwise_not(self.long(v, op)), "long")
             w = self.number(v, op)
+            if op == "-" and w.type == "complex":
+                re, im = self.parts(w)
+                return Value(F.struct((-re).alias("re"), (-im).alias("im")), "complex")
             return w if op == "+" else Value(-w.col, w.type)
 
         return self.each(one, self.node(n))
@@ -203,8 +208,11 @@ class Compiler:
         elif op == "/":
             size = r * r + s * s
             re, im = F.try_divide(p * r + q * s, size), F.try_divide(q * r - p * s, size)
-        else:
-            raise ExpressionError(f"{op}: complex number")
+        else:  # exp(w log z); a power of zero is zero
+            size, phase = F.hypot(p, q), F.atan2(q, p)
+            length = F.when(size == 0, F.lit(0.0)).otherwise(F.exp(r * F.ln(size) - s * phase))
+            angle = F.when(size == 0, F.lit(0.0)).otherwise(s * F.ln(size) + r * phase)
+            re, im = length * F.cos(angle), length * F.sin(angle)
         return Value(F.struct(re.alias("re"), im.alias("im")), "complex")
 
     def parts(self, v: Value) -> tuple[Column, Column]:

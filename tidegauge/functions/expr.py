@@ -7,6 +7,7 @@ The grammar is C-like with a few extensions (``**``, postfix ``!``, list literal
 
 from __future__ import annotations
 
+import cmath
 import math
 import re
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ CAST_TYPES = ("bool", "int", "long", "float", "double", "string")
 
 _TOKEN = re.compile(
     r"""\s*(?:
-      (?P<num>0[xX][0-9a-fA-F]+ | 0[bB][01]+ | (?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)
+      (?P<num>0[xX][0-9a-fA-F]+ | 0[bB][01]+ | (?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?[iI]?)
     | (?P<str>"(?:[^"\\]|\\.)*" | '(?:[^'\\]|\\.)*')
     | (?P<name>[A-Za-z_][A-Za-z_0-9]*)
     | (?P<op><\+> | <&> | \*\* | << | >> | <= | >= | == | != | && | \|\| | => | [-+*/%<>&^|!~()\[\]{},:;=?.])
@@ -138,6 +139,8 @@ class _Parser:
             t = tok.text.lower()
             if t.startswith("0x") or t.startswith("0b"):
                 return ("lit", int(t, 0))
+            if t.endswith("i"):
+                return ("lit", complex(0.0, float(t[:-1])))
             return ("lit", float(t) if re.search(r"[.e]", t) else int(t))
         if tok.kind == "str":
             return ("lit", re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), tok.text[1:-1]))
@@ -294,7 +297,7 @@ def _arith(op: str, a: Any, b: Any) -> Any:
         return a / b
     if op == "**":
         try:
-            return a**b if isinstance(a, complex) else math.pow(a, b)
+            return complex(a) ** b if isinstance(a, complex) or isinstance(b, complex) else math.pow(a, b)
         except (ValueError, OverflowError, ZeroDivisionError) as e:
             raise ExpressionError(f"**: {e}") from e
     return a * b if op == "*" else a + b if op == "+" else a - b
@@ -363,9 +366,11 @@ def _call(name: str, args: list, functions: dict) -> Any:
         return 0 if v is None else len(v) if isinstance(v, (list, dict, str)) else 1
     if name == "typeof":
         v = args[0]
-        return {type(None): "void", bool: "bool", int: "long", float: "double", str: "string"}.get(type(v), "list")
+        return {type(None): "void", bool: "bool", int: "long", float: "double", complex: "complex", str: "string"}.get(type(v), "list")
     if name == "keys":
         return list(args[0]) if isinstance(args[0], dict) else [""] * len(_as_list(args[0]))
+    if name == "complex" and len(args) == 2:
+        return complex(_double(args[0], name), _double(args[1], name))
     if name == "atan2" and len(args) == 2:
         return _broadcast(lambda y, x: math.atan2(_double(y, name), _double(x, name)), *args)
     if len(args) == 1 and isinstance(args[0], list) and (name in _UNARY_MATH or name in ("abs", "arg", "real", "imag", "pt100")):
@@ -379,6 +384,8 @@ def _call(name: str, args: list, functions: dict) -> Any:
             if name == "arg":
                 return math.atan2(z.imag, z.real) if isinstance(z, complex) else math.pi if z < 0 else 0.0
             return (z.real if name == "real" else z.imag) if isinstance(z, complex) else z if name == "real" else type(z)(0)
+        if isinstance(v, complex) and name in ("sin", "cos", "exp"):
+            return getattr(cmath, name)(v)
         if name in _UNARY_MATH or name == "pt100":
             x = _double(v, name)
             if name == "tan" and math.cos(x) == 0:

@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def split_by(text: Column, separator: str, defaults: list[str | None] = []) -> Column:
+    """Parts of a text between separators, as an array; an empty part is the default of its place, or NULL.
+
+    There are at least as many parts as defaults. A NULL text gives the defaults.
+    """
+    parts = F.split(F.coalesce(text, F.lit("")), "\\Q" + separator + "\\E", -1)
+    given = F.array(*(F.lit(d).cast("string") for d in defaults))
+    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    last = F.greatest(F.size(cut), F.lit(len(defaults))) - 1
+    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.coalesce(F.nullif(F.get(cut, i), F.lit("")), F.get(given, i)))
+
+
 class Formatter:
     """Collects pieces of text; settings hold for the pieces put after them. Width holds for the next piece only.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import warnings
 from collections.abc import Iterable
 from functools import reduce
 from pathlib import Path
@@ -15,6 +17,9 @@ from tidegauge.sources import trees
 from tidegauge.sources.tables import Source
 
 
+CONFIG_VARIABLE = "TIDEGAUGE_CONFIG_PATH"
+
+
 class App:
     """Sensors of a configuration bound to the names of a data source."""
 
@@ -29,10 +34,11 @@ class App:
         delimiters: str | None = None,
         name_space: str = "dripline_endpoint",
     ):
-        """``config`` is a tree file or a directory whose ``.ktf`` files are all read, in order of their names."""
+        """``config`` is a tree file or a directory whose ``.ktf`` files are all read, in order of their names; without it and
+        without ``tree``, the directory that the environment's ``TIDEGAUGE_CONFIG_PATH`` names, if any."""
         self.spark, self.source, self.name_space = spark, source, name_space
         self.table = sensors.SensorTable()
-        loaded = [tree] if tree is not None else [trees.load_tree(str(p)) for p in _config_files(config)]
+        loaded = [tree] if tree is not None else [trees.load_tree(str(p)) for p in _config_files(config or os.environ.get(CONFIG_VARIABLE))]
         options: dict = {}
         for t in loaded:
             self.table.load_tree(t, {**sensors.default_variables(), **(variables or {})})
@@ -72,7 +78,8 @@ class App:
         """Long series ``(name, i, t, x)`` of the sensors, calibrated, start <= t < stop.
 
         Derived sensors are computed from their root's readings by one expression; sensors with one root share its scan.
-        A sensor without data, without endpoint or without usable calibration has no point or only missing values.
+        A sensor without data, without endpoint or without usable calibration has no point or only missing values; a missing,
+        ambiguous or circular calibration input is a warning, and an error only with ``strict``.
         """
         if self.source is None:
             raise ValueError("no data source")
@@ -80,7 +87,13 @@ class App:
         wanted = []
         for column, number in self.resolve(names):
             if number:
-                root, steps = sensors.chain_of(number, self.table, strict_probe)
+                try:
+                    root, steps = sensors.chain_of(number, self.table, strict_probe)
+                except LookupError as e:
+                    if strict:
+                        raise
+                    warnings.warn(f"{column} has no values: {e}", stacklevel=2)
+                    continue
                 if root in endpoints:
                     wanted.append((column, endpoints[root], steps))
         raw = self.source.range([e for _, e, _ in wanted], start, stop)

@@ -6,6 +6,7 @@ begin with ``@`` are attributes. Everything here runs on the driver: such files
 
 from __future__ import annotations
 
+import copy
 import json
 import math
 import plistlib
@@ -15,7 +16,6 @@ from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
 
-
 class Tree(dict):
     """A node; it remembers which keys occurred more than once."""
 
@@ -305,6 +305,52 @@ def set_path(tree: Tree, path: str, value: object) -> None:
         tree = items[index]
 
 
+def append(tree: Tree, path: str) -> Tree:
+    """A new node at a path; what is there already becomes the first of a list."""
+    *above, key = path.split("/")
+    for k in above:
+        if not isinstance(tree.get(k), (Tree, list)):
+            tree[k] = Tree()
+        tree = tree[k][-1] if isinstance(tree[k], list) else tree[k]
+    node = Tree()
+    put(tree, key, node)
+    return node
+
+
+def link(tree: Tree, key: str, node: object) -> None:
+    """Makes a node that hangs elsewhere a child, too: both places show the same node from then on."""
+    put(tree, key, node)
+
+
+def unlink(tree: object, node: object) -> int:
+    """Takes a node out of the children and lists below; gives how many places it had."""
+    found = 0
+    if isinstance(tree, dict):
+        for k, v in list(tree.items()):
+            if v is node:
+                del tree[k]
+                found += 1
+            elif isinstance(v, list):
+                found += unlink(v, node)
+    elif isinstance(tree, list):
+        kept = [v for v in tree if v is not node]
+        found, tree[:] = len(tree) - len(kept), kept
+    return found
+
+
+def merge(tree: Tree, other: dict) -> Tree:
+    """Adds copies of another tree's children; keys that occur in both become lists."""
+    for k, v in other.items():
+        put(tree, k, copy.deepcopy(v))
+    return tree
+
+
+def clear(tree: Tree) -> None:
+    """Drops all children."""
+    tree.clear()
+    tree.repeated.clear()
+
+
 def visit(tree: object, enter, leave=None, path: str = "") -> None:
     """Calls ``enter(path, node)`` for every node before its children, which False leaves out, and ``leave`` after them."""
     if enter(path, tree) is not False:
@@ -490,6 +536,12 @@ def to_xpvp(tree: Tree) -> str:
     return "".join(f"{path}: {_escaped(v)}\n" for path, v in walk(tree))
 
 
+def to_c(text: str, name: str = "text") -> str:
+    """A C string of the text, line by line, to be compiled into a program."""
+    rows = [json.dumps(line + "\n", ensure_ascii=False) for line in text.splitlines()]
+    return f"static const char {name}[] =\n" + "\n".join(f"    {r}" for r in rows or ['""']) + ";\n"
+
+
 WRITERS = {".json": to_json, ".ktf": to_ktf, ".yaml": to_yaml, ".yml": to_yaml, ".xml": to_xml, ".plist": to_plist, ".ini": to_ini, ".xpvp": to_xpvp}
 
 
