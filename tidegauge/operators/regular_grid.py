@@ -26,6 +26,7 @@ def regular_series(readings: DataFrame, periods: DataFrame, max_gap_s: int = 60,
     The sequence of a day is generated from its first and last cell and left-joined to the aggregated cells; the keys
     of the join contain the cell, so that a hot endpoint spreads. The fill window is one endpoint's day.
     """
+    model.utc(readings.sparkSession)
     p = periods.where("endpoint_name is not null and period_s > 0").groupBy("endpoint_name").agg(F.min("period_s").cast("long").alias("period_s"))
     p = model.broadcast_if_small(p, broadcast_rows)
     r = readings.where(model.has_value("value_raw") & F.col("timestamp").isNotNull()).select(
@@ -37,7 +38,8 @@ def regular_series(readings: DataFrame, periods: DataFrame, max_gap_s: int = 60,
         model.floor_div(F.col("us"), cell_us).alias("cell"), "reading_id", "v",
     )
     key = ["endpoint_name", "period_s", "day", "cell"]
-    # One exchange on the cell serves three steps: telling deliveries apart, aggregating the cell, and the join.
+    # One exchange on the cell serves three steps: telling deliveries apart, aggregating the cell, and the join. The days' spans
+    # come from a second scan of three columns: it sends a row per task and day, an exchange for both would have to go twice.
     cells = r.repartition(*key).groupBy(*key, F.coalesce(F.col("reading_id"), -1 - F.monotonically_increasing_id()).alias("id")).agg(F.min("v").alias("v"))
     cells = cells.groupBy(*key).agg(F.count("*").alias("n"), F.avg("v").alias("value"))
     spans = r.groupBy("endpoint_name", "period_s", "day").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
