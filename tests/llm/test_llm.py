@@ -259,7 +259,7 @@ def test_mix(spark):
     for s, share in (("news", 0.5), ("shop", 0.3), ("rare", 0.15)):
         assert got[s] / sum(got.values()) == pytest.approx(share / 0.95, abs=1e-4)
         assert next(r["reached_share"] for r in out if r["source"] == s) == pytest.approx(got[s] / sum(got.values()))
-    again = mixing.mix(df, targets, salts=3).collect()
+    again = mixing.mix(df, targets, docs_per_salt=200).collect()
     assert {s: sum(r["copies"] * r["n_tokens"] for r in again if r["source"] == s) for s in most} == got
     small = mixing.mix(df, targets, total=1000).collect()
     assert abs(sum(r["copies"] * r["n_tokens"] for r in small) - 950) <= 3

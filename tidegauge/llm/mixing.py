@@ -7,6 +7,7 @@ bitset). Which documents of a length are taken is decided by a seeded hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,7 +98,7 @@ def plan_budgets(sizes: dict[str, int], targets: dict[str, tuple[float, int]], t
     return {s: (min(int(round(share * total)), sizes[s] * r) if s in able else 0) for s, (share, r) in targets.items()}
 
 
-def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, salts: int = 64) -> DataFrame:
+def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, docs_per_salt: int = 100_000) -> DataFrame:
     """``(doc_id, source, n_tokens, copies, target_share, reached_share)`` of the documents used at least once.
 
     ``counted`` comes from :func:`count_tokens` (checkpoint it: it is read three times), ``targets`` has ``source``,
@@ -106,13 +107,15 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
     targets of one source count once (largest share). ``reached_share`` is the source's share of the tokens chosen.
 
     Only (source, length) counts leave the executors' groups, one group per source for the knapsack; the documents of a
-    length are ranked in ``salts`` parts, so that a length that a third of the documents have is no single task.
+    length are ranked in parts by a hash, one for each ``docs_per_salt`` documents of all, so that a length that a third of
+    the documents have is no single task.
     """
     model.utc(counted.sparkSession)
     t = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy(source_key().alias("source"))
     t = t.agg(F.max("target_share").alias("target_share"), F.max_by("max_repeats", "target_share").alias("max_repeats"))
     t = model.broadcast_if_small(t)
     docs = counted.where("doc_id is not null and n_tokens > 0").join(t.select("source"), "source", "left_semi")
+    salts = max(1, math.ceil(counted.count() / docs_per_salt))
     docs = docs.withColumn("order__", F.xxhash64(F.lit(seed), "doc_id")).withColumn("salt__", F.pmod("order__", F.lit(salts)))
     by_salt = docs.groupBy("source", "n_tokens", "salt__").agg(F.count("*").alias("docs"))
     counts = by_salt.groupBy("source", "n_tokens").agg(F.sum("docs").alias("docs"))
@@ -138,4 +141,4 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
     ranked = docs.join(quota, ["source", "n_tokens", "salt__"])
     rank = F.row_number().over(W.partitionBy("source", "n_tokens", "salt__").orderBy("order__", "doc_id"))
     used = ranked.withColumn("copies", F.col("whole") + F.when(rank <= F.col("quota"), 1).otherwise(0)).where("copies > 0")
-    return used.join(F.broadcast(shares), "source").select("doc_id", "source", "n_tokens", "copies", "target_share", "reached_share")
+    return used.join(model.broadcast_if_small(shares), "source").select("doc_id", "source", "n_tokens", "copies", "target_share", "reached_share")
