@@ -174,7 +174,7 @@ ORACLE = {
     "p7_round_trip": "select doc_id, true as in_order, md5(text) as digest from documents where doc_id is not null and text <> ''",
     "p8_limits": r"""with t as (select lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source, target_share as share from mix_target where source is not null and target_share > 0 and max_repeats > 0),
       there as (select distinct lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source from documents where text <> '' and doc_id is not null)
-      select source, true as kept, round(case when source in (select source from there) then share / (select sum(share) from t where source in (select source from there)) else 0 end, 3) as share from t""".replace("\\s", "\s"),
-    "p9_confidence": r"select doc_id, true as in_text, true as changes, true as sure from documents where doc_id is not null and regexp_matches(text, '\S')".replace("\\S", "\S"),
+      select source, true as kept, round(case when source in (select source from there) then share / (select sum(share) from t where source in (select source from there)) else 0 end, 3) as share from t""",
+    "p9_confidence": r"select doc_id, true as in_text, true as changes, true as sure from documents where doc_id is not null and regexp_matches(text, '\S')",
     "p1_checks": f"with {_P1} select check_id, c.endpoint, c.value_ref, b.reading_id, b.value_raw, b.delta_us from checks c left join best b using (check_id)",
 }
