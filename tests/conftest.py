@@ -45,3 +45,27 @@ def readings(spark, at):
         return spark.createDataFrame(full, READINGS)
 
     return make
+
+
+SOURCE = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(params=["empty", "nulls"], scope="session")
+def odd_tables(request, spark, tmp_path_factory):
+    """(kind, folder) of the test tables, empty, or with NULLs in every column, repeated rows and an extra column."""
+    from pyspark.sql import functions as F
+
+    if not os.path.isdir(SOURCE):
+        pytest.skip("no test data")
+    folder = tmp_path_factory.mktemp(request.param)
+    for p in os.listdir(SOURCE):
+        df = spark.read.parquet(f"{SOURCE}/{p}")
+        out = df.limit(0)
+        if request.param == "nulls":
+            base = df.limit(10)
+            out = base.union(base).union(df.limit(2).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema)))
+            for f in df.schema:
+                out = out.union(df.limit(1).withColumn(f.name, F.lit(None).cast(f.dataType)))
+            out = out.withColumn("unit_x", F.lit(1))
+        out.coalesce(1).write.parquet(f"{folder}/{p}")
+    return request.param, str(folder)

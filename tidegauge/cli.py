@@ -72,11 +72,9 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     out = out or sys.stdout
     say = lambda s: print(s, file=out)
     if a.command == "dump" and a.to == "c":
-        from pathlib import Path
-
         from tidegauge.sources import trees
 
-        say(trees.to_c(Path(a.file).read_text()).rstrip("\n"))
+        say(trees.to_c(trees.text_of(a.file)).rstrip("\n"))
         return 0
     if a.command == "dump" and a.to not in ("csv", "table"):
         from tidegauge.sources import trees

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tidegauge import model, sensors
 from tidegauge.functions.columns import compile_expression, macro
 from tidegauge.functions.text import Formatter, Scanner
+from tidegauge.operators import resample, validity
 from tidegauge.operators import series as S
 from tidegauge.plans import pqueries
 from tidegauge.plans.app import App
-from tidegauge.plans.squeries import START, STOP, series
+from tidegauge.plans.squeries import _FIRST, START, STEP, STOP, series, source
 from tidegauge.sources import render
 from tidegauge.sources.tables import Source
 from tidegauge.streaming import windows
@@ -46,6 +47,8 @@ TREE = {
                 {"id": {"name": "late"}, "default_calibration": "view: view", "valid_if": "date >= 20240101"},
                 {"id": {"name": "never"}, "default_calibration": "view: view", "valid_if": "date < 20240101"},
                 {"id": {"name": "resistor"}, "default_calibration": "view: pt100(view)"},
+                {"id": {"name": "inverse"}, "default_calibration": "click: 1000/click"},
+                {"id": {"name": "lost"}, "default_calibration": "nowhere: nowhere"},
             ],
         }
     }
@@ -53,9 +56,8 @@ TREE = {
 
 
 def app(spark: SparkSession, d: str) -> App:
-    e = model.table(spark, d, "events").select(F.col("event_type").alias("endpoint_name"), F.col("ts").alias("timestamp"), F.col("value").alias("value_raw"), F.col("event_id").alias("reading_id"))
     names = spark.createDataFrame([(n,) for n in ("click", "error", "purchase", "signup", "view")], "endpoint_name string")
-    return App(spark, Source(e, names), tree=TREE, variables={"date": 20240201})
+    return App(spark, Source(source(spark, d).readings, names), tree=TREE, variables={"date": 20240201})
 
 
 def _calibrated(name: str, sql: str, origin: str):
@@ -168,15 +170,17 @@ def text_format(spark, d):
     return model.table(spark, d, "customer").select("c_custkey", f.flush().alias("line"), s.get("long").alias("number"), word.alias("word"), left.alias("left_over"))
 
 
-@query("select event_type as name, round(max(value) - min(value), 6) as spread, count(*) as n from events where value is not null and event_type is not null group by 1")
+_K = f"cast(floor((epoch_us(ts) / 1000000 - {_FIRST}) / {STEP}) as bigint)"
+
+
+@query(f"select event_type as name, {_K} as k, round(max(value) - min(value), 6) as spread, cast(count(*) as double) as size from events where value is not null and event_type is not null and {_K} >= 0 and {_K} < 120 group by 1, 2")
 def custom_reducer(spark, d):
-    """Reducers of one's own: one as an aggregate, one in Python."""
+    """Reducers of one's own on buckets: one as an aggregate, one in Python."""
     S.register_reducer("spread", lambda centre: F.max("x") - F.min("x"))
     S.register_reducer("size", S.python_reducer(len))
-    s = series(spark, d).where("x is not null")
-    a = s.groupBy("name").agg(S.reducer("spread").alias("spread"))
-    b = s.groupBy("name").agg(S.reducer("size").cast("long").alias("n"))
-    return a.join(b, "name").select("name", F.round("spread", 6).alias("spread"), "n")
+    s, grid = S.dropna(series(spark, d)), resample.Grid.by_time(START, STOP, STEP)
+    a, b = (resample.resample(s, grid, r).where("x is not null").select("name", "k", F.col("x").alias(r)) for r in ("spread", "size"))
+    return a.join(b, ["name", "k"]).select("name", "k", F.round("spread", 6).alias("spread"), "size")
 
 
 @query("select event_id, round((value + 1) * (value + 1) / 2 + 3, 6) as y from events where value is not null")
@@ -200,11 +204,20 @@ def find_like(spark, d):
 )
 def validity_interval(spark, d):
     """Rows joined to those of the same key whose interval contains their time."""
-    start = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(n_nationkey)")
-    stop = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(n_nationkey + 5)")
-    n = model.table(spark, d, "nation").select("n_nationkey", start.alias("start"), stop.alias("stop"))
-    e = model.table(spark, d, "events").select("event_id", "ts", F.pmod("user_id", F.lit(25)).alias("k"))
-    return e.join(n, (e["k"] == n["n_nationkey"]) & (e["ts"] >= n["start"]) & (e["ts"] < n["stop"])).select("event_id", "n_nationkey")
+    return _intervals(spark, d)
+
+
+@query(ORACLE["validity_interval"])
+def validity_interval_large(spark, d):
+    """The same with more intervals than may be broadcast: cut at slices of time."""
+    return _intervals(spark, d, broadcast_rows=0)
+
+
+def _intervals(spark: SparkSession, d: str, **more: int) -> DataFrame:
+    start, stop = (F.expr(f"timestamp_ntz '2024-01-01' + make_dt_interval({n})") for n in ("n_nationkey", "n_nationkey + 5"))
+    n = model.table(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("long").alias("k"), start.alias("start"), stop.alias("stop"))
+    e = model.table(spark, d, "events").select("event_id", "ts", F.pmod("user_id", F.lit(25)).cast("long").alias("k"))
+    return validity.join_intervals(e, n, "k", "ts", "start", "stop", **more).select("event_id", "n_nationkey")
 
 
 @query("select name, count(*) as n, round(avg(x), 6) as mean, round(stddev_samp(x), 6) as std from (select 'click' as name, value as x from events where event_type = 'click' and ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31' union all select 'linear', 2.5 * value - 7 from events where event_type = 'click' and ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31') group by name")
@@ -213,41 +226,39 @@ def summary(spark, d):
     return s.select("name", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("select event_id as i, strftime(ts, '%Y-%m-%dT%H:%M:%S') as \"DateTime\", round(epoch_us(ts) / 1000000, 1) as \"TimeStamp\", round(value, 6) as x from events where event_type = 'view'")
+@query("select strftime(ts, '%Y-%m-%dT%H:%M:%S') as \"DateTime\", round(epoch_us(ts) / 1000000, 1) as \"TimeStamp\", value as reading from events where event_type is not null and ts is not null")
 def render_csv(spark, d):
-    s = series(spark, d).where("name = 'view'")
-    return s.select("i", render.date_text("t").alias("DateTime"), F.round("t", 1).alias("TimeStamp"), F.round("x", 6).alias("x"))
+    return render.series_csv(series(spark, d), "reading")
 
 
 @query(
-    f"select cast(user_id as varchar) as name, '{{\"start\":{START},\"length\":{STOP - START},\"t\":' || to_json(list(round(epoch_us(ts) / 1000000 - {START}, 1) order by ts, event_id)) || '}}' as json from events where user_id is not null group by 1"
+    f"select cast(user_id as varchar) as name, {START} as start, {STOP - START} as length, string_agg(cast(round(epoch_us(ts) / 1000000 - {START}, 1) as varchar), ',' order by ts, event_id) as t,"
+    " string_agg(coalesce(printf('%.5e', value), 'null'), ',' order by ts, event_id) as x from events where user_id is not null group by 1"
 )
 def render_json(spark, d):
-    """Each user's series as JSON; the values, compared elsewhere, are left out of the text."""
-    whole = render.series_json(series(spark, d, "user_id"), START, STOP)
-    head = F.from_json("json", "start double, length double, t array<double>")
-    return whole.select("name", F.concat(F.lit(f'{{"start":{START},"length":{STOP - START},"t":'), F.to_json(head["t"]), F.lit("}")).alias("json"))
+    """Each user's series as JSON, taken apart again: times to a tenth of a second, values to six significant digits."""
+    parsed = F.from_json("json", "start double, length double, t array<double>, x array<double>").alias("j")
+    j = render.series_json(series(spark, d, "user_id"), START, STOP).select("name", parsed)
+    times = F.array_join(F.transform("j.t", lambda t: t.cast("string")), ",")
+    values = F.array_join(F.transform("j.x", lambda x: F.coalesce(F.format_string("%.5e", x), F.lit("null"))), ",")
+    return j.select("name", "j.start", "j.length", times.alias("t"), values.alias("x"))
 
 
-@query("select distinct entry_id, sensor_name, cast(valid_if like '%date%' as boolean) as dated from sensor_table where entered_at is not null")
+@query(f"with {pqueries._ENTRIES} select distinct entry_id, endpoint_name from entries where endpoint_name is not null")
 def sensor_rows(spark, d):
-    t = model.table(spark, d, "sensor_table").where("entered_at is not null")
-    return t.select("entry_id", "sensor_name", F.col("valid_if").contains("date").alias("dated")).distinct()
+    """Each entry of the sensor table with the endpoint it is bound to."""
+    return validity.bound_entries(model.table(spark, d, "sensor_table"), pqueries.SETUP).select("entry_id", "endpoint_name")
 
 
 @query(
-    pqueries.ORACLE["p5_found"].replace("select distinct entry_id, reading_id from applying where entry_id is not null", "select endpoint_name, cast(count(distinct reading_id) as bigint) as n from applying where entry_id is not null").rstrip() + " group by 1"
+    f"with {pqueries._ENTRIES} select endpoint_name, cast(count(distinct reading_id) as bigint) as n, cast(count(distinct entry_id) as bigint) as entries from applying"
+    " where entry_id is not null and endpoint_name in (select endpoint_name from entries where default_calibration is not null) group by 1"
 )
 def known_per_endpoint(spark, d):
-    found = pqueries.p5_found(spark, d)
-    r = model.table(spark, d, "numeric_data").select("reading_id", "endpoint_name").distinct()
-    return found.join(r, "reading_id").groupBy("endpoint_name").agg(F.count_distinct("reading_id").alias("n"))
+    return pqueries.p5_states(spark, d).groupBy("endpoint_name").agg(F.count_distinct("reading_id").alias("n"), F.count_distinct("entry_id").alias("entries"))
 
 
-@query(
-    f"select event_type as name, {STOP} - (ceil(({STOP} - epoch_us(ts) / 1000000) / 21600) - 0.5) * 21600 as t, round(avg(value), 6) as x from events where value is not null"
-    " and epoch_us(ts) / 1000000 % 21600 <> 0 group by 1, 2"
-)
+@query(f"select event_type as name, {STOP} + (floor((epoch_us(ts) / 1000000 - {STOP}) / 21600) + 0.5) * 21600 as t, round(avg(value), 6) as x from events where value is not null and event_type is not null group by 1, 2")
 def stream_resample(spark, d):
     """The events as a stream of files, resampled to the batch grid's buckets; the result is the sink's table."""
     schema = model.table(spark, d, "events").schema

@@ -47,15 +47,19 @@ def p3_regular_series(spark: SparkSession, d: str) -> DataFrame:
         model.significant("filled", 9).alias("filled"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each reading with a value and the entry in force at its time, of endpoints with some calibrated entry."""
+def p5_states(spark: SparkSession, d: str) -> DataFrame:
+    """Each delivery of a reading with a value with the entry in force at its time, of endpoints with some calibrated entry."""
     entries = validity.bound_entries(model.table(spark, d, "sensor_table"), SETUP)
     calibrated = model.broadcast_if_small(entries.where("default_calibration is not null").select("endpoint_name").distinct())
     readings = model.table(spark, d, "numeric_data").where(model.has_value("value_raw")).where("reading_id is not null and timestamp is not null")
     events = readings.select("endpoint_name", "reading_id", model.micros("timestamp").alias("at_us")).join(calibrated, "endpoint_name", "left_semi")
     buckets = model.partitions_for(model.table(spark, d, "numeric_data"))
     joined = validity.as_known_at(events, validity.current_states(entries, VERSION), buckets=buckets)
-    return joined.where("entry_id is not null").select("entry_id", "reading_id").distinct()
+    return joined.where("entry_id is not null").select("endpoint_name", "entry_id", "reading_id", "default_calibration")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_states(spark, d).select("entry_id", "reading_id").distinct()
 
 
 def p6_implausible(spark: SparkSession, d: str) -> DataFrame:

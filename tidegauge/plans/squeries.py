@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge import model
 from tidegauge.operators import fill, resample
 from tidegauge.operators import series as S
+from tidegauge.sources.tables import Source
 
 START, STOP = 1704067200.0, 1706659200.0  # 2024-01-01 and 2024-01-31
 STEP = 21_600.0
@@ -43,25 +44,21 @@ def _register(name: str, f, sql: str | None) -> None:
         ORACLE[name] = sql
 
 
-@query("select event_id, event_type, epoch_us(ts) as us, value from events where event_type in ('click', 'view') and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12'")
-def range_scan(spark, d):
-    e = model.table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
-    e = e.where("ts >= timestamp_ntz '2024-01-05' and ts < timestamp_ntz '2024-01-12'")
-    return e.select("event_id", "event_type", model.micros("ts").alias("us"), "value")
+def source(spark: SparkSession, d: str) -> Source:
+    """The events as a table of readings."""
+    e = model.table(spark, d, "events")
+    return Source(e.select(F.col("event_type").alias("endpoint_name"), F.col("ts").alias("timestamp"), F.col("value").alias("value_raw"), F.col("event_id").alias("reading_id")))
 
 
-@query("select r.ord, e.event_id, e.value from (values (0, 'click'), (1, 'view'), (2, 'click'), (3, 'unbound')) r(ord, endpoint) left join events e on e.event_type = r.endpoint")
-def endpoint_fanout(spark, d):
-    wanted = spark.createDataFrame([(0, "click"), (1, "view"), (2, "click"), (3, "unbound")], "ord int, endpoint string")
-    e = model.table(spark, d, "events")
-    # the scan is restricted to the endpoints asked for, each once
-    e = e.where(F.col("event_type").isin("click", "view", "unbound")).select("event_type", "event_id", "value")
-    return wanted.join(e, wanted["endpoint"] == e["event_type"], "left").select("ord", "event_id", "value")
+@query("select event_type as name, event_id as i, epoch_us(ts) / 1000000 as t, value as x from events where event_type in ('click', 'view') and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12'")
+def range_scan(spark, d):
+    """A half-open range of two names, one of them asked for twice; bounds are cut to whole seconds."""
+    return source(spark, d).range(["click", "view", "click"], 1704412800.9, 1705017600.5)
 
 
 @query("select distinct event_type as name from events where event_type is not null")
 def list_names(spark, d):
-    return model.table(spark, d, "events").select(F.col("event_type").alias("name")).where("name is not null").distinct()
+    return source(spark, d).name_table()
 
 
 _REDUCE_SQL = {

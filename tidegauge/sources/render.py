@@ -58,10 +58,10 @@ def frame_json(frame: DataFrame) -> str:
     return json.dumps({"columns": shown.columns, "table": rows})
 
 
-def sensor_json(fields: list[str]) -> Column:
+def sensor_json(fields: list[str], delimiter: str = ".") -> Column:
     """Chosen fields of a sensor row as JSON; name and label chains are joined."""
     columns = {
-        "number": F.col("number"), "name": F.array_join("name", ".").alias("name"), "label": F.array_join("label", ", ").alias("label"),
+        "number": F.col("number"), "name": F.array_join("name", delimiter).alias("name"), "label": F.array_join("label", ", ").alias("label"),
         "calibration": F.col("calibration"), "options": F.col("options"),
     }
     return F.to_json(F.struct(*(columns[f] for f in fields)))

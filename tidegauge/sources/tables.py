@@ -425,7 +425,10 @@ def write_table(df: DataFrame, path: str, suffix: str = ".ktf", header: dict | N
             if first:
                 lines, first = [*head.split("\n"), *lines], False
             yield pa.RecordBatch.from_arrays([pa.array(lines, type=pa.string())], names=["value"])
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(head.split("\n"), type=pa.string())], names=["value"])
 
+    df = df if df.rdd.getNumPartitions() else df.repartition(1)
     df.mapInArrow(run, "value string").write.text(path)
 
 

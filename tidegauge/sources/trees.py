@@ -405,7 +405,13 @@ def load_tree(path: str) -> Tree:
     reader = READERS.get(p.suffix.lower())
     if reader is None:
         raise TreeError(f"no tree format for {path}")
-    return reader(sys.stdin.read() if p.stem == "-" else p.read_text())
+    return reader(text_of(path))
+
+
+def text_of(path: str) -> str:
+    """Text of a file, or of standard input for ``-`` with any suffix."""
+    p = Path(path)
+    return sys.stdin.read() if p.stem == "-" else p.read_text()
 
 
 # ---- writers
