@@ -75,9 +75,13 @@ def test_resample_against_plain_version(spark, offset):
 def test_fill_against_plain_version(spark, how):
     rng = random.Random(3)
     points = [(10.0 * k, None if rng.random() < 0.5 else float(k)) for k in range(40)]
-    got = [(r.t, r.x) for r in fill.fill(series(spark, points), how).orderBy("t").collect()]
-    for (t, g), (_, w) in zip(got, filled(points, how)):
-        assert g == (None if w is None else pytest.approx(w)), t
+    for slice_seconds in (None, 86_400, 50, 7):  # gaps over several slices, and slices of a single point
+        out = fill.fill(series(spark, points), how, slice_seconds=slice_seconds)
+        got = [(r.t, r.x) for r in out.orderBy("t").collect()]
+        assert len(got) == len(points) and set(out.columns) == {"name", "i", "t", "x"}
+        for (t, g), (_, w) in zip(got, filled(points, how)):
+            assert g == (None if w is None else pytest.approx(w)), (slice_seconds, t)
+    assert fill.fill(series(spark, points).where("false"), how).count() == 0
 
 
 def test_reducers_of_edge_series(spark):
@@ -118,6 +122,9 @@ def test_hot_series_go_through_slices(spark):
     whole, parts = S.sampling_interval(df), S.sampling_interval(df, 100, slice_seconds=600)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
     assert S.steps(df, 600).count() == S.steps(df, None).count() == 5999 + 39
+    grid = resample.Grid.by_time(0, 100_000, 20_000)
+    medians = [resample.resample(df, grid, "median", rows_per_task=n) for n in (10**6, 100)]
+    assert sorted(map(tuple, medians[0].collect()), key=str) == sorted(map(tuple, medians[1].collect()), key=str)
     names = ["median", "count", "max"]
     a, b = S.reduce(df, names), S.reduce(df, names, rows_per_task=100)
     assert a.columns == b.columns and sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge import model
 from tidegauge.operators import fill as filling
 from tidegauge.operators import series as S
 
@@ -75,22 +76,28 @@ def align(df: DataFrame, how: str, spans: dict[str, tuple[float, float]] | None
     return Grid.by_time(a, b, dt if dt is not None else 1.0 if how == "auto" else 10.0)
 
 
-def resample(df: DataFrame, grid: Grid, reducer: str, filler: str = "none", value: float | None = None, names: list[str] | None = None) -> DataFrame:
+def resample(
+    df: DataFrame, grid: Grid, reducer: str, filler: str = "none", value: float | None = None, names: list[str] | None = None, rows_per_task: int = model.ROWS_PER_TASK
+) -> DataFrame:
     """``(name, k, t, x)``: every series on every bucket of the grid.
 
     ``names`` are the series wanted; without them, those that occur. A bucket without a value is NULL (``count``: 0 in a
-    bucket with points, NULL in one without) before filling.
+    bucket with points, NULL in one without) before filling. Medians of buckets of more than ``rows_per_task`` points come
+    from :func:`tidegauge.operators.series.ranked`; fillers run over the grid, one row a bucket.
     """
     keyed = df.withColumn("k", F.floor((F.col("t") - grid.first) / grid.step)).where((F.col("k") >= 0) & (F.col("k") < grid.n))
     centre = F.lit(grid.first) + (F.col("k") + 0.5) * grid.step
-    buckets = keyed.groupBy("name", "k").agg(S.reducer(reducer, centre_of(grid)).cast("double").alias("x"))
+    if reducer == "median" and S.longest(keyed, ("name", "k")) > rows_per_task:
+        buckets = S.ranked(keyed, F.floor(F.col("n") / 2), keys=("name", "k"))
+    else:
+        buckets = keyed.groupBy("name", "k").agg(S.reducer(reducer, centre_of(grid)).cast("double").alias("x"))
     spark = df.sparkSession
     every = spark.createDataFrame([(n,) for n in names], "name string") if names is not None else df.select("name").distinct()
     if grid.n == 0:
         return every.select("name", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("x")).where("false")
     cells = every.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.n - 1).cast("long"))).alias("k"))
     full = cells.join(buckets, ["name", "k"], "left").select("name", "k", centre.alias("t"), "x")
-    return filling.fill(full, filler, value)
+    return filling.fill(full, filler, value, slice_seconds=None)
 
 
 def centre_of(grid: Grid):

@@ -135,26 +135,27 @@ def reduce(df: DataFrame, names: list[str], span: tuple[float, float] | None = N
     return out.drop("median").join(large_median(df), "name", "left").select("name", *names) if apart else out
 
 
-def longest(df: DataFrame) -> int:
+def longest(df: DataFrame, keys: tuple[str, ...] = ("name",)) -> int:
     """Points of the longest series."""
-    return df.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def ranked(df: DataFrame, rank: Column, x: str = "x", accuracy: int = 10_000) -> DataFrame:
-    """``(name, x)``: of each series the value at ``rank`` (from 0, of ``n``, the number of values) among its sorted values.
+def ranked(df: DataFrame, rank: Column, x: str = "x", accuracy: int = 10_000, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """``keys`` and ``x``: of each series the value at ``rank`` (from 0, of ``n``, the number of values) among its sorted values.
 
     Exact for series of any length: an approximate summary brackets the middle, values below the bracket are only counted,
     and the distinct values inside, about 4 / ``accuracy`` of a series, are ranked. For ranks around the middle.
     """
-    d = df.where(F.col(x).isNotNull()).select("name", F.col(x).alias("v__"))
+    keys = list(keys)
+    d = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("v__"))
     low, high = max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)
-    bracket = d.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("v__", [low, high], accuracy).alias("p"))
-    bracket = bracket.select("name", rank.cast("long").alias("want"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
-    b = d.join(model.broadcast_if_small(bracket), "name").where(F.col("v__") <= F.col("hi"))
-    counts = b.groupBy("name", "want", F.when(F.col("v__") >= F.col("lo"), F.col("v__")).alias("v__")).agg(F.count("*").alias("c"))
-    w = W.partitionBy("name").orderBy(F.asc_nulls_first("v__")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    bracket = d.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v__", [low, high], accuracy).alias("p"))
+    bracket = bracket.select(*keys, rank.cast("long").alias("want"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    b = d.join(model.broadcast_if_small(bracket), keys).where(F.col("v__") <= F.col("hi"))
+    counts = b.groupBy(*keys, "want", F.when(F.col("v__") >= F.col("lo"), F.col("v__")).alias("v__")).agg(F.count("*").alias("c"))
+    w = W.partitionBy(*keys).orderBy(F.asc_nulls_first("v__")).rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = counts.withColumn("upto", F.sum("c").over(w)).where(F.col("upto") > F.col("want"))
-    return upto.groupBy("name").agg(F.min("v__").alias(x))
+    return upto.groupBy(*keys).agg(F.min("v__").alias(x))
 
 
 def large_median(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
