@@ -358,3 +358,19 @@ def test_queries_are_registered():
     assert {f"p{n}" for n in (1, 4, 7, 8, 9)} <= {q.split("_")[0] for q in queries.QUERIES}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert dt.datetime(2021, 1, 5)
+
+
+def test_operators_from_another_folder(elsewhere):
+    """Each operator that runs Python on the executors brings the package along."""
+    elsewhere("""
+from tidegauge.llm import language, mixing, nearest, packing, percentiles
+docs = spark.createDataFrame([(k, "The harbour office repairs umbrellas. " * (k + 1), "en", "s") for k in range(20)], "doc_id long, text string, lang string, source string")
+assert packing.pack(docs, 64).agg(F.sum("n_items")).first()[0] >= 20
+assert mixing.mix(mixing.count_tokens(docs), spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")).count() == 20
+found = nearest.match_nearest(readings.withColumnRenamed("reading_id", "check_id"), readings, ("endpoint_name", "timestamp"), ("endpoint_name", "timestamp"), "reading_id", 1)
+assert found.where("check_id = reading_id").count() == 200
+days = percentiles.summarise(readings, "endpoint_name", "timestamp", "value_raw", "reading_id")
+assert percentiles.percentiles(percentiles.over_days(days, "endpoint_name"), ["endpoint_name"], [0.5]).first()["n"] == 200
+sample = spark.createDataFrame([(k, lang, t) for k in range(6) for lang, t in (("en", "The harbour office repairs umbrellas."), ("de", "Das Hafenamt repariert Schirme."))], "sample_id int, lang string, text string")
+assert language.document_languages(docs, language.train(sample)).where("lang = 'en'").count() == 20
+""")

@@ -35,6 +35,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = tokens.DEFAULT_FILE) ->
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n, type=pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     model.utc(documents.sparkSession)
+    tokens.share(documents.sparkSession, tokenizer)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text")
     return model.spread(texts).mapInArrow(run, "doc_id long, source string, n_tokens long")
 

@@ -143,6 +143,7 @@ def match_nearest(
     model.utc(left.sparkSession)
     width = shard_seconds * 1_000_000
     left_names, right_names = left.columns, right.columns
+    right = right.toDF(*right_names)  # columns of its own, as both sides may come from one table
     out_right = [f"{c}_right" if c in left_names else c for c in right_names]
     delta = "delta_us_right" if "delta_us" in [*left_names, *out_right] else "delta_us"
     q, t = model.micros(left_on[1]), model.micros(right_on[1])

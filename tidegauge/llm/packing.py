@@ -193,6 +193,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = tokens.DEF
     documents nor on their lengths. Items of a block's containers with space left are packed again with the next block.
     """
     model.utc(documents.sparkSession)
+    tokens.share(documents.sparkSession, tokenizer)
     d = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = model.spread(d).mapInArrow(_pieces(capacity, tokenizer), _PIECE)
     # The hash mixes all lengths into every partition.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +72,8 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_space(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the containers' space is used."""
-    return packing.fill(p7_containers(spark, d), CAPACITY)
+    """How much of the containers' space is used, by the tokenizer named."""
+    return packing.fill(p7_containers(spark, d), CAPACITY).withColumn("tokenizer", F.lit(os.path.basename(TOKENIZER)))
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +99,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share, tokens, documents and most copies of each source."""
     return p8_corpus(spark, d).groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.max("reached_share").alias("reached_share"), F.sum(F.expr("copies * n_tokens")).alias("tokens"),
-        F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
+        F.count("*").alias("documents"), F.max("copies").alias("most_copies")).withColumn("tokenizer", F.lit(os.path.basename(TOKENIZER)))
 
 
 def p8_limits(spark: SparkSession, d: str) -> DataFrame:

@@ -9,8 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+#: The public byte-level BPE vocabulary of 50,256 tokens; another file, for any of the three libraries, may be given instead.
 DEFAULT_FILE = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: how the byte-level BPE vocabularies split text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -19,10 +22,26 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
+_SHARED: set[tuple[str, str]] = set()
+
+
+def share(spark: SparkSession, path: str) -> None:
+    """Sends a tokenizer's file to the executors, once a session: they need not have it on their disks."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _SHARED and os.path.exists(path):
+        _SHARED.add((sc.applicationId, path))
+        sc.addFile(path)
+
+
+def located(path: str) -> str:
+    """The file as it lies here: at its path, or as it was sent."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str = DEFAULT_FILE) -> dict[int, bytes]:
     """Bytes of each token of a ``.tiktoken`` file."""
-    with open(path, "rb") as f:
+    with open(located(path), "rb") as f:
         return {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
 
 
@@ -40,13 +59,13 @@ def encoder(path: str = DEFAULT_FILE):
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(located(path))
         t.encode_special_tokens = True
         return lambda text: t.encode(text, add_special_tokens=False).ids
     if path.endswith(".model"):
         import sentencepiece
 
-        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        p = sentencepiece.SentencePieceProcessor(model_file=located(path))
         return lambda text: p.encode(text, num_threads=1)
     raise ValueError(f"no tokenizer for {path}")
 
