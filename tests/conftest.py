@@ -69,3 +69,27 @@ def odd_tables(request, spark, tmp_path_factory):
             out = out.withColumn("unit_x", F.lit(1))
         out.coalesce(1).write.parquet(f"{folder}/{p}")
     return request.param, str(folder)
+
+
+_ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+readings = spark.range(200).select(F.col("id").alias("reading_id"), F.lit("a").alias("endpoint_name"), F.expr("timestamp_ntz '2021-01-05' + make_dt_interval(0, 0, 0, id)").alias("timestamp"), (F.col("id") % 7 * 1.0).alias("value_raw"))
+"""
+
+
+@pytest.fixture
+def elsewhere(tmp_path):
+    """Runs code in a Python process of its own whose working folder isn't the repository, with ``spark`` and ``readings``."""
+    import subprocess
+
+    def run(code):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", _ELSEWHERE.format(root=root) + code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-3000:]
+
+    return run

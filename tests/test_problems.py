@@ -217,3 +217,22 @@ def test_partitions_follow_the_rows(spark):
     assert model.collected_if_small(df, 5) is None and len(model.collected_if_small(df, 1000)) == 1000
     assert model.broadcast_if_small(df, 5) is df
     assert statistics.mean([r["id"] for r in model.local_if_small(df).collect()]) == 499.5
+
+
+def test_operators_from_another_folder(elsewhere):
+    """Each operator that runs Python on the executors brings the package along."""
+    elsewhere("""
+from tidegauge.operators import series, spikes, validity
+from tidegauge.sources import tables
+entries = spark.sql("select 1L entry_id, 'a.L' sensor_name, 'a' dripline_endpoint, string(null) valid_if, 'v: v' default_calibration, 'l' label, timestamp_ntz '2020-01-01' entered_at")
+states = validity.current_states(validity.bound_entries(entries))
+events = readings.withColumn("at_us", F.unix_micros(F.col("timestamp").cast("timestamp")))
+for n in (100_000, 0):
+    assert validity.as_known_at(events, states, broadcast_rows=n, buckets=2).where("entry_id = 1").count() == 200
+assert spikes.flag_implausible(readings.withColumns({"value_common": F.col("value_raw"), "quantity": F.lit(None).cast("string")})).count() == 0
+tables.write_table(readings.drop("timestamp"), "out.ktf")
+assert tables.read_table(spark, "out.ktf").count() == 200
+s = series.to_series(readings, "endpoint_name", "timestamp", "value_raw")
+series.register_reducer("own", series.python_reducer(len))
+assert series.reduce(s, ["own"]).first()["own"] == 200
+""")
