@@ -120,7 +120,7 @@ def to_common_units(readings: DataFrame, states: DataFrame, unit_def: DataFrame,
     aliases = model.broadcast_if_small(alias_table(defs), broadcast_rows)
     spans = unit_versions(states, aliases).select(*(F.col(c).alias(f"{c}__") for c in ("endpoint_name", "from_us", "to_us", "source_unit")))
     spans = model.broadcast_if_small(spans, broadcast_rows)
-    r = readings.select(*kept).withColumns({"at__": model.micros("timestamp"), "memo__": memo_unit_text("memo", "value_raw"), "name__": normal(F.element_at(F.split("endpoint_name", "_"), 1))})
+    r = readings.select(*kept).withColumns({"at__": model.micros("timestamp"), "memo__": memo_unit_text("memo", "value_raw"), "name__": normal(F.substring_index("endpoint_name", "_", 1))})
     r = r.join(spans, (r["endpoint_name"] == spans["endpoint_name__"]) & (r["at__"] >= spans["from_us__"]) & (r["at__"] < spans["to_us__"]), "left")
     short = lambda key, name: aliases.select(F.col("alias").alias(key), F.col("unit").alias(name))
     r = r.join(short("memo__", "u1__"), "memo__", "left").join(short("name__", "u3__"), "name__", "left")

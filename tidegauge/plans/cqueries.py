@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,9 +264,7 @@ def stream_resample(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     if os.path.isdir(os.path.join(d, "events.parquet")):
         stream = spark.readStream.schema(schema).parquet(os.path.join(d, "events.parquet"))
-    # in complete mode the sink holds every bucket: series x buckets, no readings
-    folder = f"{model.checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     out = windows.resample_stream(stream.where("value is not null"), "event_type", "ts", "value", 21_600, int(STOP), late_s=40 * 86_400)
-    q = out.writeStream.format("memory").queryName(name := f"stream_{uuid.uuid4().hex}").outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("name", "t", F.round("x", 6).alias("x"))
+    path = model.scratch(spark, "stream")
+    windows.write_whole(out, f"{path}/table", f"{path}/progress").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/table").select("name", "t", F.round("x", 6).alias("x"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge import model
 from tidegauge.operators import series
@@ -23,3 +24,16 @@ def resample_stream(readings: DataFrame, name: str, timestamp: str, value: str,
     window = F.window("at__", f"{step_s} seconds", f"{step_s} seconds", f"{stop_s % step_s} seconds")
     out = r.groupBy("name", window.alias("w")).agg(series.reducer(reducer).cast("double").alias("x"))
     return out.select("name", (F.unix_seconds("w.start") + step_s / 2).cast("double").alias("t"), "x")
+
+
+def write_whole(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Starts a query that keeps the whole result, as it is after each batch, as parquet below ``path``, written by the executors.
+
+    ``once`` works off what is there and ends. Both folders have to be shared by all machines.
+    """
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
+    return (q.trigger(availableNow=True) if once else q).start()
