@@ -26,33 +26,35 @@ def regular_series(readings: DataFrame, periods: DataFrame, max_gap_s: int = 60,
     The sequence of a day is generated from its first and last cell and left-joined to the aggregated cells; the keys
     of the join contain the cell, so that a hot endpoint spreads. The fill window is one endpoint's day.
     """
-    model.utc(readings.sparkSession)
+    spark = readings.sparkSession
+    model.utc(spark)
     p = periods.where("endpoint_name is not null and period_s > 0").groupBy("endpoint_name").agg(F.min("period_s").cast("long").alias("period_s"))
-    p = model.broadcast_if_small(p, broadcast_rows)
+    small = model.collected_if_small(p, broadcast_rows)
+    if small is None:
+        p = p.withColumn("e", F.col("endpoint_name"))
+    else:  # endpoints travel as numbers
+        p = F.broadcast(spark.createDataFrame([(r["endpoint_name"], r["period_s"], i) for i, r in enumerate(small)], "endpoint_name string, period_s long, e int"))
     r = readings.where(model.has_value("value_raw") & F.col("timestamp").isNotNull()).select(
         "endpoint_name", model.micros("timestamp").alias("us"), "reading_id", F.col("value_raw").alias("v"))
-    r = r.join(p, "endpoint_name")
-    cell_us = F.col("period_s") * 1_000_000
-    r = r.select(
-        "endpoint_name", "period_s", model.floor_div(F.col("us"), DAY_S * 1_000_000).alias("day"),
-        model.floor_div(F.col("us"), cell_us).alias("cell"), "reading_id", "v",
-    )
-    key = ["endpoint_name", "period_s", "day", "cell"]
+    r = r.join(p, "endpoint_name").select(
+        "e", model.floor_div(F.col("us"), DAY_S * 1_000_000).cast("int").alias("day"), model.floor_div(F.col("us"), F.col("period_s") * 1_000_000).alias("cell"), "reading_id", "v")
+    key = ["e", "day", "cell"]
     # One exchange on the cell serves three steps: telling deliveries apart, aggregating the cell, and the join. The days' spans
     # come from a second scan of three columns: it sends a row per task and day, an exchange for both would have to go twice.
     cells = r.repartition(*key).groupBy(*key, F.coalesce(F.col("reading_id"), -1 - F.monotonically_increasing_id()).alias("id")).agg(F.min("v").alias("v"))
     cells = cells.groupBy(*key).agg(F.count("*").alias("n"), F.avg("v").alias("value"))
-    spans = r.groupBy("endpoint_name", "period_s", "day").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
-    grid = spans.select("endpoint_name", "period_s", "day", F.explode(F.sequence("lo", "hi")).alias("cell"))
-    full = grid.join(cells, key, "left")
-    w = W.partitionBy("endpoint_name", "day").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = F.last(F.when(F.col("n").isNotNull(), F.struct("cell", "value")), ignorenulls=True).over(w)
-    full = full.withColumn("last", last)
-    near = (F.col("cell") - F.col("last.cell")) * F.col("period_s") <= max_gap_s
+    spans = r.groupBy("e", "day").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+    grid = spans.select("e", "day", F.explode(F.sequence("lo", "hi")).alias("cell"))
+    full = grid.join(cells, key, "left").withColumn("read", F.when(F.col("n").isNotNull(), F.col("cell")))
+    w = W.partitionBy("e", "day").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # what a query doesn't ask for, such as the values, doesn't travel
+    full = full.withColumns({"last_read": F.last("read", ignorenulls=True).over(w), "last_value": F.last("value", ignorenulls=True).over(w)})
+    full = full.join(p, "e")
+    near = (F.col("cell") - F.col("last_read")) * F.col("period_s") <= max_gap_s
     return full.select(
-        "endpoint_name", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("day"),
+        "endpoint_name", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("day"),
         (F.col("cell") * F.col("period_s")).alias("cell_start"), F.coalesce("n", F.lit(0)).alias("n"), "value",
-        F.when(near, F.col("last.value")).alias("filled"),
+        F.when(near, F.col("last_value")).alias("filled"),
         F.when(F.col("n").isNotNull(), "read").when(near, "filled").otherwise("missing").alias("status"),
     )
 
