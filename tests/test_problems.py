@@ -133,6 +133,8 @@ def test_grid(spark, readings):
     ]
     assert {r["endpoint_name"] for r in s.collect()} == {"a", "b"}
     assert regular_grid.empty_cells(s).count() == 9
+    shuffled = regular_grid.regular_series(df, periods, max_gap_s=30, broadcast_rows=0)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, s.collect()))
     assert regular_grid.regular_series(df.where("false"), periods).count() == 0
     assert regular_grid.regular_series(df, periods.where("false")).count() == 0
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge import cli, sensors
+from tidegauge.operators import resample
 from tidegauge.plans.app import App
 from tidegauge.sources import render, tables, trees
 
@@ -266,6 +267,24 @@ def test_schema_probe(spark, tmp_path, readings):
         tables.Source.directory(spark, str(tmp_path)).names(1)
 
 
+def test_extremes_before_calibration(spark, data):
+    """Buckets reduced before linear calibrations, rising and falling, equal those reduced after them, to the last bit."""
+    texts = {"up": "flow: 0.1*flow + 1/3.0", "down": "flow: (7 - flow*3)/-2.0*-1 - 0.7", "twice": "down: -down/3", "same": "flow"}
+    tree = {"sensor_table": {"setup": {"id": {"name": "L"}, "channel": [{"id": {"name": "flow"}, "x-dripline_endpoint": "flow_1"}, *({"id": {"name": n}, "default_calibration": t} for n, t in texts.items())]}}}
+    app = App(spark, tables.Source.parquet(spark, data[0]), tree=tree)
+    grid = resample.Grid.by_time(START, START + 60, 7)
+    for reducer in ("min", "max"):
+        early = app.extremes([*texts, "flow", "nothing"], grid, START, START + 60, reducer)
+        late = resample.into_buckets(app.read([*texts, "flow"], START, START + 60), grid).groupBy("name", "k").agg(resample.S.reducer(reducer).alias("x"))
+        assert sorted(map(tuple, early.collect())) == sorted(map(tuple, late.collect())) != []
+        frame = app.frame([*texts], START, START + 60, 7, reducer)
+        assert frame.columns == ["t", *texts] and frame.count() == 9
+    assert app.extremes(["up"], grid, START, START + 60, "mean") is None
+    for text, want in (("2*x", 1), ("3 - x/2", -1), ("x*x", None), ("x + x", None), ("1/2*x", None), ("7", None), ("x/0", None), ("sin(x)", None), ("-(x - 1)*-4", 1), ("x % 2", None), ("2**2*x", 1), ("1/x", None)):
+        c = sensors.Calibration(1, 2, False, sensors.X.parse(text))
+        assert sensors.slope([c]) == want, text
+
+
 def test_bad_sensors_stay_empty(spark, data):
     tree = {"sensor_table": {"setup": {"id": {"name": "L"}, "channel": [
         {"id": {"name": "flow"}, "x-dripline_endpoint": "flow_1"}, {"id": {"name": "lost"}, "default_calibration": "nowhere: nowhere"}, {"id": {"name": "loop"}, "default_calibration": "pool: pool"},

@@ -85,14 +85,23 @@ def resample(
     bucket with points, NULL in one without) before filling. Medians of buckets of more than ``rows_per_task`` points come
     from :func:`tidegauge.operators.series.ranked`; fillers run over the grid, one row a bucket.
     """
-    keyed = df.withColumn("k", F.floor((F.col("t") - grid.first) / grid.step)).where((F.col("k") >= 0) & (F.col("k") < grid.n))
-    centre = F.lit(grid.first) + (F.col("k") + 0.5) * grid.step
+    keyed = into_buckets(df, grid)
     if reducer == "median" and S.longest(keyed, ("name", "k")) > rows_per_task:
         buckets = S.ranked(keyed, F.floor(F.col("n") / 2), keys=("name", "k"))
     else:
         buckets = keyed.groupBy("name", "k").agg(S.reducer(reducer, centre_of(grid)).cast("double").alias("x"))
-    spark = df.sparkSession
-    every = spark.createDataFrame([(n,) for n in names], "name string") if names is not None else df.select("name").distinct()
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "name string") if names is not None else df.select("name").distinct()
+    return on_grid(buckets, grid, every, filler, value)
+
+
+def into_buckets(df: DataFrame, grid: Grid) -> DataFrame:
+    """Points with the number ``k`` of their bucket; those outside the grid drop out."""
+    return df.withColumn("k", F.floor((F.col("t") - grid.first) / grid.step)).where((F.col("k") >= 0) & (F.col("k") < grid.n))
+
+
+def on_grid(buckets: DataFrame, grid: Grid, every: DataFrame, filler: str = "none", value: float | None = None) -> DataFrame:
+    """``(name, k, t, x)`` of reduced buckets ``(name, k, x)``: every series of ``every`` on every bucket, filled."""
+    centre = F.lit(grid.first) + (F.col("k") + 0.5) * grid.step
     if grid.n == 0:
         return every.select("name", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("x")).where("false")
     cells = every.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.n - 1).cast("long"))).alias("k"))
@@ -110,7 +119,11 @@ def frame(df: DataFrame, grid: Grid, names: list[str], reducer: str, filler: str
 
     ``columns`` renames them; a series without a point is a column of NULLs.
     """
-    long = resample(df, grid, reducer, filler, value, names)
+    return widen(resample(df, grid, reducer, filler, value, names), names, columns)
+
+
+def widen(long: DataFrame, names: list[str], columns: list[str] | None = None) -> DataFrame:
+    """A column per series of a resampled long table."""
     wide = long.groupBy("t").pivot("name", names).agg(F.first("x"))
     for old, new in zip(names, columns or names):
         if old != new:

@@ -81,6 +81,17 @@ class App:
         A sensor without data, without endpoint or without usable calibration has no point or only missing values; a missing,
         ambiguous or circular calibration input is a warning, and an error only with ``strict``.
         """
+        wanted = self._wanted(names, strict, strict_probe)
+        raw = self.source.range([e for _, e, _ in wanted], start, stop)
+        if not wanted:
+            return raw
+        # one pass over the scan: each reading gives the points of all columns that derive from its endpoint
+        points = [F.when(F.col("name") == e, F.struct(F.lit(c).alias("name"), sensors.calibrate(F.col("x"), steps, strict).alias("x"))) for c, e, steps in wanted]
+        spread = raw.withColumn("p", F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())))
+        return spread.select(F.col("p.name").alias("name"), "i", "t", F.col("p.x").alias("x"))
+
+    def _wanted(self, names: Iterable[str], strict: bool, strict_probe: bool) -> list[tuple[str, str, list[sensors.Calibration]]]:
+        """(column, endpoint, calibrations from it) of the names that can be read."""
         if self.source is None:
             raise ValueError("no data source")
         endpoints = self.table.endpoints(self.name_space)
@@ -92,17 +103,31 @@ class App:
                 except LookupError as e:
                     if strict:
                         raise
-                    warnings.warn(f"{column} has no values: {e}", stacklevel=2)
+                    warnings.warn(f"{column} has no values: {e}", stacklevel=3)
                     continue
                 if root in endpoints:
                     wanted.append((column, endpoints[root], steps))
-        raw = self.source.range([e for _, e, _ in wanted], start, stop)
-        if not wanted:
-            return raw
-        # one pass over the scan: each reading gives the points of all columns that derive from its endpoint
-        points = [F.when(F.col("name") == e, F.struct(F.lit(c).alias("name"), sensors.calibrate(F.col("x"), steps, strict).alias("x"))) for c, e, steps in wanted]
-        spread = raw.withColumn("p", F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())))
-        return spread.select(F.col("p.name").alias("name"), "i", "t", F.col("p.x").alias("x"))
+        return wanted
+
+    def extremes(self, names: Iterable[str], grid: resample.Grid, start: float, stop: float, reducer: str) -> DataFrame | None:
+        """Reduced buckets ``(name, k, x)`` for ``min`` and ``max`` with the readings reduced before they are calibrated.
+
+        That is exact where every chain rises or falls everywhere, which is checked on linear calibrations; None elsewhere.
+        The readings are reduced once for each endpoint, however many sensors derive from it.
+        """
+        wanted = self._wanted(names, False, True) if reducer in ("min", "max") else []
+        signs = [sensors.slope(steps) for _, _, steps in wanted]
+        if not wanted or None in signs:
+            return None
+        raw = resample.into_buckets(self.source.range([e for _, e, _ in wanted], start, stop), grid)
+        both = raw.groupBy("name", "k").agg(F.min("x").alias("min"), F.max("x").alias("max"))
+        other = {"min": "max", "max": "min"}
+        points = [
+            F.when(F.col("name") == e, F.struct(F.lit(c).alias("name"), sensors.calibrate(F.col(reducer if s > 0 else other[reducer]), steps).alias("x")))
+            for (c, e, steps), s in zip(wanted, signs)
+        ]
+        spread = both.withColumn("p", F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())))
+        return spread.select(F.col("p.name").alias("name"), "k", F.col("p.x").alias("x"))
 
     def summary(self, names: Iterable[str], start: float, stop: float, reducers: list[str]) -> DataFrame:
         """One row per sensor with the reducers' values."""
@@ -112,12 +137,15 @@ class App:
         """Aligned wide frame; without a step, that of the upper median of the sampling intervals."""
         names = list(names)
         columns = list(dict.fromkeys(c for c, _ in self.resolve(names)))
-        long = self.read(names, start, stop)
         if step is None:
-            spans = {c: (start, stop) for c in columns}
-            grid = resample.align(long, "auto", spans)
+            long = self.read(names, start, stop)
+            grid = resample.align(long, "auto", {c: (start, stop) for c in columns})
         else:
             grid = resample.Grid.by_time(start, stop, step)
+            if (early := self.extremes(names, grid, start, stop, reducer)) is not None:
+                every = self.spark.createDataFrame([(c,) for c in columns], "name string")
+                return resample.widen(resample.on_grid(early, grid, every, filler, value), columns)
+            long = self.read(names, start, stop)
         return resample.frame(long, grid, columns, reducer, filler, value)
 
 

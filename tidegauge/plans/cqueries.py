@@ -47,6 +47,7 @@ TREE = {
                 {"id": {"name": "never"}, "default_calibration": "view: view", "valid_if": "date < 20240101"},
                 {"id": {"name": "resistor"}, "default_calibration": "view: pt100(view)"},
                 {"id": {"name": "inverse"}, "default_calibration": "click: 1000/click"},
+                {"id": {"name": "falling"}, "default_calibration": "click: 100 - click"},
                 {"id": {"name": "lost"}, "default_calibration": "nowhere: nowhere"},
             ],
         }

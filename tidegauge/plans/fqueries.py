@@ -468,6 +468,16 @@ def render_frame(spark, d):
     return render.frame_csv(_frame(spark, d))
 
 
+@query(
+    f"with b as (select {_FIRST} + (floor((epoch_us(ts) / 1000000 - {_FIRST}) / {STEP}) + 0.5) * {STEP} as t, min(value) as lo, max(value) as hi from events where event_type = 'click' and {_SPAN} group by 1)"
+    f" select t, round(hi, 6) as click, round(2.5 * hi - 7, 6) as linear, round(100 - lo, 6) as falling from (select {_FIRST} + (k + 0.5) * {STEP} as t from range(120) r(k)) left join b using (t)"
+)
+def frame_extremes(spark, d):
+    """Largest values in buckets, reduced before the linear calibrations."""
+    f = app(spark, d).frame(["click", "linear", "falling"], START, STOP, STEP, "max")
+    return f.select("t", *(F.round(n, 6).alias(n) for n in ("click", "linear", "falling")))
+
+
 _SHOWN = {"csv": "coalesce(printf('%.6g', {0}), 'nan')", "json": "coalesce(printf('%.6g', {0}), 'null')"}
 
 

@@ -242,3 +242,48 @@ def calibrate(x: Column, steps: list[Calibration], strict: bool = False, functio
         compiler = Compiler({"x": Value(x, "double")}, functions, strict)
         x = compiler.double(compiler.compile(c.node), "calibration")
     return x
+
+
+def linear(node: object) -> tuple[float, float] | None:
+    """(slope, value at 0) of an expression that is linear in ``x``, else None."""
+    if not _mentions(node):
+        try:
+            v = X.evaluate(node)
+        except X.ExpressionError:
+            return None
+        return (0.0, float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+    if node == ("name", "x"):
+        return 1.0, 0.0
+    if node[0] == "un" and node[1] in ("+", "-"):
+        inner = linear(node[2])
+        return inner and ((inner[0], inner[1]) if node[1] == "+" else (-inner[0], -inner[1]))
+    if node[0] != "bin" or node[1] not in ("+", "-", "*", "/"):
+        return None
+    a, b = linear(node[2]), linear(node[3])
+    if a is None or b is None:
+        return None
+    if node[1] in ("+", "-"):
+        sign = 1 if node[1] == "+" else -1
+        return a[0] + sign * b[0], a[1] + sign * b[1]
+    if node[1] == "*" and (a[0] == 0 or b[0] == 0) and not (_mentions(node[2]) and _mentions(node[3])):
+        return (a[0] * b[1], a[1] * b[1]) if _mentions(node[2]) else (a[1] * b[0], a[1] * b[1])
+    if node[1] == "/" and not _mentions(node[3]) and b[1] != 0:
+        return a[0] / b[1], a[1] / b[1]
+    return None
+
+
+def _mentions(node: object, name: str = "x") -> bool:
+    return isinstance(node, tuple) and (node == ("name", name) or any(_mentions(n, name) for n in node))
+
+
+def slope(steps: list[Calibration]) -> int | None:
+    """1 or -1 if a chain rises or falls everywhere with its input, each step being linear and mentioning it once; else None."""
+    sign = 1
+    for c in steps:
+        if c.identity:
+            continue
+        form = None if c.node is None or repr(c.node).count("('name', 'x')") != 1 else linear(c.node)
+        if form is None or form[0] == 0:
+            return None
+        sign = sign if form[0] > 0 else -sign
+    return sign

@@ -29,8 +29,10 @@ def resample_stream(readings: DataFrame, name: str, timestamp: str, value: str,
 def write_whole(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Starts a query that keeps the whole result, as it is after each batch, as parquet below ``path``, written by the executors.
 
-    ``once`` works off what is there and ends. Both folders have to be shared by all machines.
+    ``once`` works off what is there and ends. Both folders have to be shared by all machines. Until the first batch the table
+    is empty.
     """
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
 
     def replace(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path)
