@@ -117,15 +117,15 @@ def to_common_units(readings: DataFrame, states: DataFrame, unit_def: DataFrame,
     added = ("unit", "quantity", "common_unit", "value_common")
     kept = [c for c in readings.columns if c not in added]
     defs = definitions(unit_def, broadcast_rows)
-    aliases = model.broadcast_if_small(alias_table(defs), broadcast_rows)
-    spans = unit_versions(states, aliases).select(*(F.col(c).alias(f"{c}__") for c in ("endpoint_name", "from_us", "to_us", "source_unit")))
+    # the small sides bring all that is to be known of a unit along, so that the readings are joined once for each way to it
+    aliases = model.broadcast_if_small(alias_table(defs).join(defs, "unit").select("alias", "unit", F.struct(*_UNIT_COLUMNS).alias("u")), broadcast_rows)
+    spans = unit_versions(states, aliases).join(defs.withColumnRenamed("unit", "source_unit"), "source_unit")
+    spans = spans.select(*(F.col(c).alias(f"{c}__") for c in ("endpoint_name", "from_us", "to_us")), F.struct(F.col("source_unit").alias("unit"), *_UNIT_COLUMNS[1:]).alias("u2__"))
     spans = model.broadcast_if_small(spans, broadcast_rows)
     r = readings.select(*kept).withColumns({"at__": model.micros("timestamp"), "memo__": memo_unit_text("memo", "value_raw"), "name__": normal(F.substring_index("endpoint_name", "_", 1))})
     r = r.join(spans, (r["endpoint_name"] == spans["endpoint_name__"]) & (r["at__"] >= spans["from_us__"]) & (r["at__"] < spans["to_us__"]), "left")
-    short = lambda key, name: aliases.select(F.col("alias").alias(key), F.col("unit").alias(name))
-    r = r.join(short("memo__", "u1__"), "memo__", "left").join(short("name__", "u3__"), "name__", "left")
-    r = r.withColumn("unit__", F.coalesce("u1__", "source_unit__", "u3__"))
-    named = defs.select(*(F.col(c).alias(f"{c}__") for c in _UNIT_COLUMNS))
-    r = r.join(named, "unit__", "left")
-    value = model.value_or_null("value_raw") * F.col("factor__") + F.col("shift__")
-    return r.select(*kept, *(F.col(f"{c}__").alias(c) for c in added[:3]), value.alias("value_common"))
+    for way, text in (("u1__", "memo__"), ("u3__", "name__")):
+        r = r.join(aliases.select(F.col("alias").alias(text), F.col("u").alias(way)), text, "left")
+    r = r.withColumn("u__", F.coalesce("u1__", "u2__", "u3__"))
+    value = model.value_or_null("value_raw") * F.col("u__.factor") + F.col("u__.shift")
+    return r.select(*kept, *(F.col(f"u__.{c}").alias(c) for c in added[:3]), value.alias("value_common"))
