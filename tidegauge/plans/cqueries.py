@@ -232,7 +232,7 @@ def render_csv(spark, d):
 
 
 @query(
-    f"select cast(user_id as varchar) as name, {START} as start, {STOP - START} as length, string_agg(cast(round(epoch_us(ts) / 1000000 - {START}, 1) as varchar), ',' order by ts, event_id) as t,"
+    f"select cast(user_id as varchar) as name, cast({START} as double) as start, cast({STOP - START} as double) as length, string_agg(cast(round(epoch_us(ts) / 1000000 - {START}, 1) as varchar), ',' order by ts, event_id) as t,"
     " string_agg(coalesce(printf('%.5e', value), 'null'), ',' order by ts, event_id) as x from events where user_id is not null group by 1"
 )
 def render_json(spark, d):

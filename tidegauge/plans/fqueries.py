@@ -144,7 +144,7 @@ _LEAVES = [
 
 
 def _values(rows: list[tuple], names: str) -> str:
-    word = lambda v: "null" if v is None else str(v).lower() if isinstance(v, (bool, int)) else repr(v) if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'"
+    word = lambda v: "null" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"cast({v!r} as double)" if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'"
     return "select * from (values " + ", ".join("(" + ", ".join(word(v) for v in r) + ")" for r in rows) + f") as t({names})"
 
 
@@ -251,7 +251,7 @@ _COMPLEX = {
     "size": ("abs(x + 0.5i)", f"sqrt({_A} * {_A} + {_B} * {_B})"), "phase": ("arg(x + 0.5i)", f"atan2({_B}, {_A})"),
     "product": ("real((x + 0.5i) * (1 - 2i))", f"{_A} + 2 * {_B}"), "quotient": ("imag((x + 0.5i) / (1 - 2i))", f"({_B} + 2 * {_A}) / 5"),
     "sine": ("real(sin(x + 0.5i))", f"sin({_A}) * cosh({_B})"), "cosine": ("imag(cos(x + 0.5i))", f"-sin({_A}) * sinh({_B})"), "power_e": ("real(exp(x + 0.5i))", f"exp({_A}) * cos({_B})"),
-    "square": ("imag((x + 0.5i)**2)", f"2 * {_A} * {_B}"), "negative": ("imag(-(x + 0.5i))", "-0.5"), "pair": ("abs(complex(x, 2*x))", f"sqrt(5.0) * {_A}"),
+    "square": ("imag((x + 0.5i)**2)", f"2 * {_A} * {_B}"), "negative": ("imag(-(x + 0.5i))", "cast(-0.5 as double)"), "pair": ("abs(complex(x, 2*x))", f"sqrt(5.0) * {_A}"),
 }
 
 
@@ -268,7 +268,7 @@ _CASTS = {
     "zeros": ("zeros(k % 4)", "array_to_string(list_transform(range(c_custkey % 4), lambda i: 0), ',')"), "ones": ("ones(2) * k", "c_custkey || ',' || c_custkey"), "shifted": ("k >> 2", "c_custkey >> 2"),
     "chomped": ("chomp(s)", "cast(c_custkey % 3 as bigint)"), "rest": ("chomped(s)", "c_name"), "size": ("sizeof s", "length(c_name) + c_custkey % 3"), "picked_item": ("{k, k+1, k+2}[-1]", "c_custkey + 2"), "gathered": ("{k, k+1, k+2}[{2, 0}]", "(c_custkey + 2) || ',' || c_custkey"),
     "letter": ("s[0]", "'C'"), "span": ("[k:2:k+5]", "c_custkey || ',' || (c_custkey + 2) || ',' || (c_custkey + 4)"), "open_span": ("[k, k+3]", "c_custkey || ',' || (c_custkey + 1) || ',' || (c_custkey + 2)"),
-    "both": ("k > 3 && k < 9 || !(k != 20)", "c_custkey > 3 and c_custkey < 9 or c_custkey = 20"), "sign": ("-(+k)", "-c_custkey"), "mean_of": ("average({k, k + 2.0})", "c_custkey + 1.0"), "most_of": ("max({1.0, k})", "greatest(1.0, c_custkey)"),
+    "both": ("k > 3 && k < 9 || !(k != 20)", "c_custkey > 3 and c_custkey < 9 or c_custkey = 20"), "sign": ("-(+k)", "-c_custkey"), "mean_of": ("average({k, k + 2.0})", "cast(c_custkey + 1 as double)"), "most_of": ("max({1.0, k})", "cast(greatest(1, c_custkey) as double)"),
 }
 
 
@@ -442,7 +442,7 @@ def _frame(spark: SparkSession, d: str, columns: list[str] | None = None) -> Dat
 
 
 _WIDE = f"""g as (select event_type as name, {_FIRST} + (floor((epoch_us(ts) / 1000000 - {_FIRST}) / {STEP}) + 0.5) * {STEP} as t, case when event_id % 7 <> 0 then value end as x from events where event_type is not null),
-  f as (select {_FIRST} + (k + 0.5) * {STEP} as t from range(120) r(k)),
+  f as (select cast({_FIRST} + (k + 0.5) * {STEP} as double) as t from range(120) r(k)),
   w as (select f.t, {", ".join(f"max(x) filter (name = '{n}') as {n}" for n in TYPES)} from f left join g using (t) group by f.t)"""
 _WHEN = "strftime(make_timestamp(cast(t as bigint) * 1000000), '%Y-%m-%dT%H:%M:%S')"
 
@@ -470,7 +470,7 @@ def render_frame(spark, d):
 
 @query(
     f"with b as (select {_FIRST} + (floor((epoch_us(ts) / 1000000 - {_FIRST}) / {STEP}) + 0.5) * {STEP} as t, min(value) as lo, max(value) as hi from events where event_type = 'click' and {_SPAN} group by 1)"
-    f" select t, round(hi, 6) as click, round(2.5 * hi - 7, 6) as linear, round(100 - lo, 6) as falling from (select {_FIRST} + (k + 0.5) * {STEP} as t from range(120) r(k)) left join b using (t)"
+    f" select t, round(hi, 6) as click, round(2.5 * hi - 7, 6) as linear, round(100 - lo, 6) as falling from (select cast({_FIRST} + (k + 0.5) * {STEP} as double) as t from range(120) r(k)) left join b using (t)"
 )
 def frame_extremes(spark, d):
     """Largest values in buckets, reduced before the linear calibrations."""
