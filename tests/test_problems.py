@@ -168,6 +168,9 @@ def test_spikes(spark, readings):
     for rules in (spikes.Rules(), spikes.Rules(shard_seconds=3600)):
         found = {r["reading_id"] for r in spikes.flag_implausible(df, rules).collect()}
         assert found == truth, (sorted(found - truth), sorted(truth - found))
+    # shards of dense sources are halved until they hold so many readings
+    for bound, sizes in ((1000, None), (800, df)):
+        assert {r["reading_id"] for r in spikes.flag_implausible(df, rows_per_shard=bound, sizes=sizes).collect()} == truth
     assert spikes.flag_implausible(df.where("false")).count() == 0
 
 

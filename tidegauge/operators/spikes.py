@@ -268,7 +268,9 @@ def impossible(raw: str = "value_raw", common: str = "value_common", quantity: s
     return F.coalesce(F.col(raw).isin([float(c) for c in rules.error_codes]) | (F.abs(raw) >= rules.overload) | low, F.lit(False))
 
 
-def flag_implausible(readings: DataFrame, rules: Rules = Rules(), partitions: int | None = None, block: int = model.ROWS_PER_TASK) -> DataFrame:
+def flag_implausible(
+    readings: DataFrame, rules: Rules = Rules(), partitions: int | None = None, block: int = model.ROWS_PER_TASK, rows_per_shard: int = model.ROWS_PER_TASK, sizes: DataFrame | None = None
+) -> DataFrame:
     """``(reading_id, endpoint_name, reason)`` of the implausible readings; a reading may have several reasons.
 
     ``readings`` has reading_id, endpoint_name, timestamp, value_raw, value_common and quantity, as
@@ -280,9 +282,10 @@ def flag_implausible(readings: DataFrame, rules: Rules = Rules(), partitions: in
     spikes nor stuck values. NULL and NaN values and NULL ids, endpoints and times take no part; a reading
     delivered more than once counts once; equal timestamps are ordered by id.
 
-    Shards are (endpoint, ``shard_seconds``) with ``margin_seconds`` of the neighbours on either side for the charts.
-    They are hashed to ``partitions`` (else one per 200,000 readings, for which the input is counted), and a task works on
-    about ``block`` readings at once, whole shards: what it holds is bounded by the readings of ``shard_seconds``.
+    Shards are (endpoint, ``shard_seconds``) with ``margin_seconds`` of the neighbours on either side for the charts. Both are
+    halved for an endpoint until none of its shards has more than about ``rows_per_shard`` readings, which are counted in
+    ``sizes`` (with endpoint_name and timestamp; else in ``readings``). Shards are hashed to ``partitions`` (else one per
+    200,000 readings, for which the input is counted), and a task works on about ``block`` readings at once, whole shards.
     The shards' findings are checkpointed. Runs that touch a shard's edge are joined to the next shard's by their lengths
     and values alone, two rows a shard; the readings' ids are looked up afterwards, for the stuck runs only.
     """
@@ -293,6 +296,14 @@ def flag_implausible(readings: DataFrame, rules: Rules = Rules(), partitions: in
     value = F.coalesce("value_common", "value_raw")
     r = readings.where(model.has_value("value_raw")).where("reading_id is not null and endpoint_name is not null and timestamp is not null")
     r = r.select("endpoint_name", F.col("reading_id").cast("long").alias("reading_id"), us.alias("us"), value.alias("v"), impossible(rules=rules).alias("bad"))
+    counted = r if sizes is None else sizes.where("endpoint_name is not null and timestamp is not null").select("endpoint_name", us.alias("us"))
+    dense = counted.groupBy("endpoint_name", model.floor_div(F.col("us"), width)).agg(F.count("*").alias("n")).groupBy("endpoint_name").agg(F.max("n").alias("n"))
+    dense = model.local_if_small(dense.where(F.col("n") > rows_per_shard).select("endpoint_name", F.ceil(F.log2(F.col("n") / rows_per_shard)).cast("int").alias("halvings")))
+    if not dense.isEmpty():
+        r = r.join(model.broadcast_if_small(dense), "endpoint_name", "left")
+        halvings = F.coalesce("halvings", F.lit(0))
+        width = F.call_function("shiftright", F.lit(width), halvings)
+        margin = F.least(F.lit(margin), width)
     own = model.floor_div(F.col("us"), width)
     around = F.array_distinct(F.array(own, model.floor_div(F.col("us") - margin, width), model.floor_div(F.col("us") + margin, width)))
     r = r.select("*", own.alias("own"), F.explode(around).alias("shard"))

@@ -65,7 +65,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_implausible(spark: SparkSession, d: str) -> DataFrame:
     """Implausible readings with the reason."""
     # the table's own count is read from the files' footers
-    return spikes.flag_implausible(common(spark, d), partitions=model.partitions_for(model.table(spark, d, "numeric_data"), 200_000))
+    readings = model.table(spark, d, "numeric_data")
+    return spikes.flag_implausible(common(spark, d), partitions=model.partitions_for(readings, 200_000), sizes=readings)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
