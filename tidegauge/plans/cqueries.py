@@ -92,7 +92,7 @@ def calib_bits(spark, d):
 @query(
     "select event_id, round(case when value > 0 then ln(value) end, 6) as log_, round(case when value >= 1 then sqrt(value - 1) end, 6) as root, round(pow(value, 2) / 3, 4) as power,"
     " sign(value - 50) * floor(abs(value - 50) + 0.5) as nearest, sign(value - 50) * floor(abs(value - 50)) as cut, value > 20 and not (value >= 80) as inside,"
-    " round(case when value = 0 then 1 else sin(pi() * value) / (pi() * value) end, 6) as wave, round(3.141592 * value, 4) as circle from events where value is not null"
+    " round(case when value = 0 then 1 else sin(pi() * value) / (pi() * value) end, 6) + 0.0 as wave, round(3.141592 * value, 4) as circle from events where value is not null"
 )
 def expr_math(spark, d):
     e = model.table(spark, d, "events").where("value is not null")
